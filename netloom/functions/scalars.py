@@ -81,12 +81,12 @@ def deterrence(kind: str, cost: Column, alpha: float | None = None, beta: float
     return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
 
 
-#: Units of planning data and their factors to metres, km/h, minutes and vehicles an hour.
+#: Units of planning data and their factors to metres, km/h, minutes and vehicles an hour; no unit means the base one.
 UNITS = {
-    "length": {"": 1000.0, "km": 1000.0, "m": 1.0, "mi": 1609.344},
-    "speed": {"": 1.0, "km/h": 1.0, "kmh": 1.0, "mph": 1.609344, "m/s": 3.6},
-    "time": {"": 1 / 60, "s": 1 / 60, "min": 1.0, "h": 60.0},
-    "capacity": {"": 1.0, "veh/h": 1.0, "veh": 1.0},
+    "length": {"": 1.0, "m": 1.0, "meter": 1.0, "meters": 1.0, "km": 1000.0},
+    "speed": {"": 1.0, "km/h": 1.0, "kph": 1.0, "kmh": 1.0, "m/s": 3.6, "mph": 1.609344},
+    "time": {"": 1.0, "min": 1.0, "mins": 1.0, "minute": 1.0, "s": 1.0 / 60.0, "sec": 1.0 / 60.0, "h": 60.0},
+    "capacity": {"": 1.0, "veh/h": 1.0, "veh/hr": 1.0, "vehph": 1.0, "pcu/h": 1.0, "pc/h": 1.0, "/h": 1.0},
 }
 
 

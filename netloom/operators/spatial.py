@@ -74,7 +74,7 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     pairs = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("p"), F.slice(ring, 2, F.size(ring) - 1).alias("q"))
 
     def crosses(e: Column) -> Column:
-        p, q = e[0], e[1]
+        p, q = e["p"], e["q"]
         return ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.when(q["y"] == p["y"], F.lit(1.0)).otherwise(q["y"] - p["y"]) + p["x"])
 
     return F.size(F.filter(pairs, crosses)) % 2 == 1

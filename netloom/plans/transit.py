@@ -201,3 +201,11 @@ def hyperpath_volumes(spark: SparkSession, d: str) -> DataFrame:
 def transit_skims(spark: SparkSession, d: str) -> DataFrame:
     v, e = full_graph(spark, d)
     return X.waiting_time(X.optimal_strategies(spark, e, _demand(spark, v), skims=["boardings", "transfers", "in_vehicle_time", "access_time", "egress_time"])[1])
+
+
+@query("SELECT event_type AS link, CAST(time_bucket(INTERVAL 6 HOUR, ts) AS VARCHAR) AS start, count(*) AS n, round(sum(value), 4) AS volume FROM events GROUP BY ALL")
+def link_counts(spark: SparkSession, d: str) -> DataFrame:
+    from netloom.streaming.counts import link_counts as counts
+
+    rows = D.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("link"), F.col("value").alias("pce"))
+    return counts(rows, "6 hours").select("link", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("volume", 4).alias("volume"))
