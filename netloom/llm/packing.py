@@ -6,8 +6,8 @@ import heapq
 import re
 import struct
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from netloom.llm.token_count import tokenizer, vocabulary
 
 CAPACITY, END = 2048, 1
 #: Windows packed together; words remembered by a worker.
-GROUP_WINDOWS, MEMORY_WORDS = 64, 300_000
+GROUP_WINDOWS, MEMORY_WORDS = 32, 600_000
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -39,9 +39,11 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     while len(heap) > 1:
         _, _, sums, sets = heapq.heappop(heap)
         _, _, other, more = heapq.heappop(heap)
-        both = sorted(((a + b, (x, y) if x and y else x or y) for a, b, x, y in zip(sums, reversed(other), sets, reversed(more), strict=True)), key=lambda p: -p[0])
-        low = both[-1][0]
-        heapq.heappush(heap, (low - both[0][0], tick, [s - low for s, _ in both], [x for _, x in both]))
+        joined = list(map(add, sums, reversed(other)))
+        trees = [(x, y) if x and y else x or y for x, y in zip(sets, reversed(more), strict=True)]
+        order = sorted(range(windows), key=joined.__getitem__, reverse=True)
+        low = joined[order[-1]]
+        heapq.heappush(heap, (low - joined[order[0]], tick, [joined[k] - low for k in order], [trees[k] for k in order]))
         tick += 1
     out = []
     for tree in heap[0][3] if heap else [none] * windows:
@@ -77,48 +79,60 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 ODD_SPACES = re.compile("[\x1c-\x1f]")
 
 
-#: The vocabulary's pre-token pattern for lower-case ASCII without white space.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of printable ASCII and the letters of Latin-1; their pre-tokens, in lower case (as the vocabulary's pattern has them).
+SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Byte-level vocabularies write bytes as characters; those that aren't printable follow from 256.
+BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def written(part: str) -> str:
+    return part if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
+
+
+PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
 
 
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACK[len(ids)](*ids) if len(ids) < 33 else struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Words:
-    """Ids of a text by its white-space words, remembered; exact for vocabularies whose pre-tokens never hold white space."""
+class Words(dict):
+    """Ids by white-space word, found on first use and remembered; exact for vocabularies whose pre-tokens never hold white space.
+
+    Beyond MEMORY_WORDS all are forgotten: the common ones are found again at once.
+    """
 
     def __init__(self, tok):
-        self.tok, self.known = tok, {}
-
-    def fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words: ASCII ones by the vocabulary's pattern and its merges alone, others by the whole encoder."""
-        merge, plain, other = self.tok.model.tokenize, {}, []
-        for word in words:
-            if word.isascii() and word.isprintable() and "<|" not in word:
-                low = word.lower()
-                plain[word] = packed([t.id for part in ([low] if low.isalpha() else ASCII_PARTS.findall(low)) for t in merge(part)])
+        super().__init__()
+        self.tok, self.merge = tok, tok.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        if SIMPLE.fullmatch(word) and "<|" not in word:
+            low = word.lower()
+            if low.isalpha():
+                found = packed([t.id for t in self.merge(low if low.isascii() else written(low))])
             else:
-                other.append(word)
-        if other:
-            plain.update(zip(other, (packed(x) for x in self.encode(other)), strict=True))
-        return plain
+                found = b"".join([self.part(p) for p in PARTS.findall(low)])
+        else:
+            found = packed(self.encode(word))
+        self[word] = found
+        return found
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def part(self, low: str) -> bytes:
+        found = self.get(low)
+        if found is None:
+            found = self[low] = packed([t.id for t in self.merge(written(low))])
+        return found
+
+    def encode(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, [None if ODD_SPACES.search(t) else t.split() for t in texts]
-        new = list(set().union(*(w for w in split if w)).difference(known))
-        fresh = self.fresh(new)
-        if len(known) + len(fresh) <= MEMORY_WORDS:
-            known.update(fresh)
-            fresh = known
-        else:
-            fresh = known | fresh if len(fresh) > 50_000 else ChainMap(known, fresh)
-        get = fresh.__getitem__
-        return [packed(self.encode([t])[0]) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        if len(self) > MEMORY_WORDS:
+            self.clear()
+        return [packed(self.encode(t)) if ODD_SPACES.search(t) else b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
 def pieces(items: list[tuple], capacity: int, group: int, final: bool, base: int) -> tuple[list[tuple], list[tuple], int]:
