@@ -90,13 +90,18 @@ def with_scores(urls: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
 
 
 def threshold(scores: DataFrame) -> float | None:
-    """The score at which as large a share of accepted URLs lies below as of rejected ones above, on held-out ruled URLs; None if a class has none."""
+    """The score at which as large a share of accepted URLs lies below as of rejected ones above, on held-out ruled URLs, the
+    middle of such scores; None if a class has none."""
     grid = F.array(*[F.lit(k / 200) for k in range(201)])
     at = {r.ruled: r.q for r in scores.where("ruled is not null and fold = 0").groupBy("ruled").agg(F.percentile_approx("score", grid, F.lit(10_000)).alias("q")).collect()}
     if len(at) < 2:
         return None
-    below = lambda q, t: sum(x < t for x in q) / len(q)
-    return min(sorted({*at["allow"], *at["block"]}), key=lambda t: abs(below(at["allow"], t) - (1 - below(at["block"], t))))
+    allow, block = at["allow"], at["block"]
+    values = sorted({*allow, *block})
+    cuts = [values[0], *((x + y) / 2 for x, y in zip(values, values[1:], strict=False))]
+    off = [abs(sum(x < t for x in allow) / len(allow) - sum(x >= t for x in block) / len(block)) for t in cuts]
+    best = [t for t, e in zip(cuts, off, strict=True) if e <= min(off) + 1e-12]
+    return (best[0] + best[-1]) / 2
 
 
 def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER) -> DataFrame:
