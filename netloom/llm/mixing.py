@@ -44,17 +44,26 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: floa
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
-    """docs, each row as often as its Poisson count says, in a global random order; adds n_copies, copy (from 1) and shuffle_key.
+    """docs, each row as often as its Poisson count says, in a global random order; adds n_copies, copy (from 1) and shuffle_key
+    (with an underscore behind a name that docs has).
 
     The count inverts the Poisson distribution of the source's rate at a number in [0, 1) that the hash of seed and doc_id
     fixes (52 bits): the same document has the same count in every run. Rows that repeat a doc_id have the same count
     each, and their copies the same keys; a null doc_id hashes as ''. A null source mixes as ''. Empty table: no rows.
     """
-    table = Table(rates(docs, weights, budget, alpha).withColumnRenamed("source", "__s"), "rates").df
+    table = Table(rates(docs, weights, budget, alpha), "rates").df.select(F.col("source").alias("s"), "cdf")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    counted = docs.withColumn("__s", F.coalesce("source", F.lit(""))).join(small_side(table), "__s").withColumn("__u", u)
-    counted = counted.withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("__u")))).where("n_copies > 0")
-    copies = counted.drop("__s", "__u", "rate", "cdf").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}#"), name, F.lit("#"), F.col("copy").cast("string"))))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"), u.alias("u"), F.coalesce("source", F.lit("")).alias("s"))
+    counted = rows.join(small_side(table), "s").withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
+    copies = counted.select("row", "name", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    keyed = copies.withColumn("key", F.md5(F.concat(F.lit(f"{seed}#"), "name", F.lit("#"), F.col("copy").cast("string"))))
+    added = [F.col(c).alias(free(n, docs.columns)) for c, n in (("n", "n_copies"), ("copy", "copy"), ("key", "shuffle_key"))]
+    return keyed.repartition("key").sortWithinPartitions("key").select(*[F.col("row")[c].alias(c) for c in docs.columns], *added)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column has it."""
+    while name in taken:
+        name += "_"
+    return name

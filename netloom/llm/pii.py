@@ -146,7 +146,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     rows = prepared(docs.select("doc_id", "text"))
     base = Table(with_base(rows).where("size(base) > 0"), "base").df
     more = Table(term_spans(rows, base).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).drop("doc_id"), "more").df
-    found = with_base(docs.withColumn("__kept", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text")).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))))
+    rest = F.struct(*[c for c in columns if c != "text"]).alias("row")
+    found = with_base(prepared(docs.select(rest, F.col("text").alias("kept"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"))))
     found = found.join(small_side(more, 100_000), ["k", "h"], "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>)"))))
     text = F.col("text")
@@ -157,6 +158,6 @@ def sanitised(docs: DataFrame) -> DataFrame:
         inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
         return F.when(s["start"] >= acc["at"], new).otherwise(inside)
 
-    done = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"].cast("int") + 1)))
-    out = found.withColumn("__spans", spans).withColumn("__text", F.when(F.size("__spans") > 0, done).otherwise(F.col("__kept")))
-    return out.select(*[F.col("__text").alias("text") if c == "text" else c for c in columns])
+    done = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"].cast("int") + 1)))
+    out = found.withColumn("spans", spans).withColumn("new", F.when(F.size("spans") > 0, done).otherwise(F.col("kept")))
+    return out.select(*[F.col("new").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns])
