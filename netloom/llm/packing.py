@@ -135,31 +135,69 @@ class Words(dict):
         return [packed(self.encode(t)) if ODD_SPACES.search(t) else b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
+def levelled(windows: list[list[tuple]], capacity: int) -> list[list[tuple]] | None:
+    """Windows of items (row, start, ids) with what exceeds the capacity cut off and put where there is room; None if there is too little."""
+    sums = [sum(len(x[2]) for x in w) for w in windows]
+    if sum(sums) > capacity * len(windows):
+        return None
+    rest = []
+    for w, n in zip(windows, sums, strict=True):
+        over = n - capacity
+        while over > 0:
+            at = max(range(len(w)), key=lambda k: len(w[k][2]))  # noqa: B023
+            row, start, ids = w[at]
+            cut = min(over, len(ids))
+            rest.append((row, start + len(ids) - cut, ids[len(ids) - cut :]))
+            w[at] = (row, start, ids[: len(ids) - cut])
+            if cut == len(ids):
+                w.pop(at)
+            over -= cut
+    for w, n in zip(windows, sums, strict=True):
+        room = capacity - n
+        while rest and room > 0:
+            row, start, ids = rest.pop()
+            w.append((row, start, ids[:room]))
+            if len(ids) > room:
+                rest.append((row, start + room, ids[room:]))
+            room -= min(room, len(ids))
+    return windows
+
+
 def pieces(items: list[tuple], capacity: int, group: int, final: bool, base: int) -> tuple[list[tuple], list[tuple], int]:
     """Pack items (row, start, ids) of one stream: the windows of whole groups, the items left over, the next window's number.
 
-    Documents come in pieces of up to a quarter window, small enough to balance. The last item is cut where a group closes, so that a group's total is just under a
-    whole number of windows; the final group keeps what remains.
+    Documents come in pieces of up to a quarter window, small enough to balance. A group's total is a whole number of windows
+    (its last item is cut there); the final group is cut once more, so that only its last window is partly filled. Where the
+    near-equal windows of the differencing exceed the capacity by up to an eighth, the excess is cut off and fills the others
+    up; beyond that the window count rises.
     """
     out: list[tuple] = []
-    slack = max(1, capacity // 128)
-    goal = group * capacity - group * slack
     while items:
-        total, k = 0, 0
-        while k < len(items) and total + len(items[k][2]) <= goal:
-            total += len(items[k][2])
-            k += 1
-        if k == len(items) and not final:
+        total = sum(len(x[2]) for x in items)
+        if total >= group * capacity:
+            goal = group * capacity
+        elif not final:
             break
-        now, items = items[:k], items[k:]
-        if items and (room := goal - total):
-            row, start, ids = items[0]
+        else:
+            goal = total // capacity * capacity or total
+        now, k, room = [], 0, goal
+        while room:
+            row, start, ids = items[k]
             now.append((row, start, ids[:room]))
-            items[0] = (row, start + room, ids[room:])
-        for window in windows_of([len(x[2]) for x in now], capacity):
+            if len(ids) > room:
+                items[k] = (row, start + room, ids[room:])
+                break
+            k, room = k + 1, room - len(ids)
+        items = items[k:]
+        sizes = [len(x[2]) for x in now]
+        found = [[now[x] for x in w] for w in differencing(sizes, -(-goal // capacity)) if w]
+        if max(sum(len(x[2]) for x in w) for w in found) <= capacity + capacity // 8:
+            found = levelled(found, capacity)
+        else:
+            found = [[now[x] for x in w] for w in windows_of(sizes, capacity)]
+        for window in found:
             offset = 0
-            for x in sorted(window):
-                row, start, ids = now[x]
+            for row, start, ids in window:
                 out.append((row, start, ids, base, offset))
                 offset += len(ids)
             base += 1

@@ -185,7 +185,7 @@ def test_op9_every_id_once(spark, sf, docs):
         n = g.length.sum()
         assert n <= 2048
         padding += 0 if n & (n - 1) == 0 else 2048 - n
-    assert padding / got.length.sum() < 0.03
+    assert padding / got.length.sum() < 0.015
 
 
 def test_op10_held_out(spark, sf, docs):

@@ -267,3 +267,23 @@ def test_clashing_columns_pass_through(spark, docs):
     assert got.columns[: len(wide.columns)] == wide.columns and {(r.n_copies, r.shuffle_key, r.rate, r.s) for r in got.collect()} == {(8, 9, 7, 10)}
     clean = pii.sanitised(docs)
     assert clean.columns == docs.columns and {(r.h, r.k, r.base, r.more) for r in clean.collect()} == {(3, 4, "b", "m")}
+
+
+def test_levelled_windows_hold_every_id_once():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        items = [(k, 0, np.arange(n)) for k, n in enumerate(rng.integers(1, 60, 300).tolist())]
+        total, out, base = sum(len(x[2]) for x in items), [], 0
+        done, items, base = packing.pieces(items, 64, 8, False, base)
+        more, items, base = packing.pieces(items, 64, 8, True, base)
+        out = done + more
+        assert not items and sum(len(i) for _, _, i, *_ in out) == total
+        ids = sorted((r, s + j) for r, s, i, *_ in out for j in range(len(i)))
+        assert len(set(ids)) == total and all((i == np.arange(s, s + len(i))).all() for _, s, i, *_ in out)
+        sums = {}
+        for _, _, i, w, o in out:
+            assert o == sums.get(w, 0)
+            sums[w] = o + len(i)
+        assert sorted(sums) == list(range(base)) and max(sums.values()) <= 64 and sum(v < 64 for v in sums.values()) <= 1
