@@ -220,3 +220,38 @@ def delaunay_edges(spark: SparkSession, d: str) -> DataFrame:
     rows = D.points(spark, d, "nation", "n_nationkey").orderBy("id").collect()
     found = triangulate([(r.x, r.y) for r in rows])
     return spark.createDataFrame([(rows[i].id + 1, rows[j].id + 1) for i, j in found], "a_node long, b_node long")
+
+
+def _grid(spark: SparkSession, n: int = 6) -> DataFrame:
+    """A grid of straight two-way roads a hundred metres apart; every third row is a priority road."""
+    rows = []
+    for i in range(n):
+        for j in range(n):
+            a = i * n + j + 1
+            if j + 1 < n:
+                rows.append((len(rows) + 1, a, a + 1, 0, [(100.0 * j, 100.0 * i), (100.0 * j + 100, 100.0 * i)], "bt", i % 3 == 0))
+            if i + 1 < n:
+                rows.append((len(rows) + 1, a, a + n, 0, [(100.0 * j, 100.0 * i), (100.0 * j, 100.0 * i + 100)], "b", False))
+    return spark.createDataFrame(rows, "link_id long, a_node long, b_node long, direction int, points array<struct<x:double,y:double>>, modes string, priority boolean")
+
+
+@query()
+def match_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns of four stops by part key on a grid of roads, some with a shape."""
+    from netloom.operators import map_matching as MM
+
+    p = D.table(spark, d, "part").where("p_partkey <= 24").select("p_partkey", "p_size")
+    stop = lambda k: F.struct(((F.col("p_partkey") * 37 + 130 * k) % 500).cast("double").alias("x"), ((F.col("p_size") * 13 + 70 * k) % 520).cast("double").alias("y"))
+    stops = F.array(*[stop(k) for k in range(4)])
+    patterns = p.select(F.col("p_partkey").alias("pattern"), stops.alias("stops"), F.when(F.col("p_partkey") % 2 == 0, stops).alias("shape"), F.lit("b").alias("mode"))
+    return MM.match_patterns(spark, _grid(spark), patterns).select("pattern", "accepted", "reason", "failed_at", F.array_join(F.transform("links", lambda x: x.cast("string")), ",").alias("links"), F.round("length", 4).alias("length"))
+
+
+@query("SELECT z AS zone, node FROM (SELECT s_suppkey % 10 AS z, s_suppkey AS node, row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_suppkey * 61 % 1009, s_suppkey) AS rk FROM supplier) WHERE rk <= 3")
+def spread_connectors(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates so far apart that the spacing never binds."""
+    from netloom.operators import map_matching as MM
+
+    k = F.col("s_suppkey")
+    c = D.table(spark, d, "supplier").select((k % 10).alias("zone"), k.alias("node"), (k * 1000.0).alias("x"), F.lit(0.0).alias("y"), (k * 61 % 1009).cast("double").alias("distance"))
+    return MM.spread(spark.range(10).select(F.col("id").alias("zone"), F.lit(3).alias("target")), c)
