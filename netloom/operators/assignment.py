@@ -321,3 +321,44 @@ def assign(
     if x is None:
         x = np.zeros((len(t0), len(classes)))
     return Equilibrium(g.with_cost(times), classes, x / pce, times, t0, capacity, base, out, done)
+
+
+def congested_skims(spark: SparkSession, found: Equilibrium, zones: DataFrame, names: list[str] | None = None, which: int = 0) -> DataFrame:
+    """(origin, destination, cost, congested_time, *names) at the equilibrium's times: cost is the class's generalised cost."""
+    from netloom.operators.graph import skims
+
+    g = found.graph
+    g.fields = g.fields | {"congested_time": found.times}
+    g.with_cost(found.times + found.classes[which].fixed(g))
+    return skims(spark, g, zones, ["congested_time", *(names or [])])
+
+
+def class_info(od: DataFrame, classes: list[TrafficClass]) -> DataFrame:
+    """(class, pce, vot, total) of each class."""
+    one = od.agg(*[F.sum(F.nanvl(F.col(c.core).cast("double"), F.lit(0.0))).alias(f"c{k}") for k, c in enumerate(classes)])
+    rows = [F.struct(F.lit(c.name).alias("class"), F.lit(float(c.pce)).alias("pce"), F.lit(float(c.vot)).alias("vot"), F.col(f"c{k}").alias("total")) for k, c in enumerate(classes)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def check_field(links: DataFrame, field: str, zeros: bool = False) -> None:
+    """Raises unless a field is there, without nulls or NaN, and positive (or zero, if that is allowed)."""
+    if field not in links.columns:
+        raise ValueError(f"no field {field}")
+    c = F.col(field).cast("double")
+    s = links.agg(F.count_if(c.isNull() | F.isnan(c)).alias("bad"), F.min(c).alias("least")).first()
+    if s.bad:
+        raise ValueError(f"{field} has {s.bad} empty values")
+    if s.least is not None and (s.least < 0 or s.least == 0 and not zeros):
+        raise ValueError(f"{field} must be {'zero or more' if zeros else 'positive'}")
+
+
+def delaunay_assignment(spark: SparkSession, zones: DataFrame, od: DataFrame, core: str) -> DataFrame:
+    """(a_node, b_node, distance, flow): demand between zones(zone, x, y) on their Delaunay edges, by distance."""
+    from netloom.functions.delaunay import delaunay_edges
+    from netloom.operators.graph import directed
+
+    z = zones.select("zone", "x", "y").orderBy("zone").collect()
+    links = [(k + 1, z[i].zone, z[j].zone, 0, math.hypot(z[i].x - z[j].x, z[i].y - z[j].y)) for k, (i, j) in enumerate(delaunay_edges([(r.x, r.y) for r in z]))]
+    df = spark.createDataFrame(links, "link_id long, a_node long, b_node long, direction int, distance double")
+    flows = all_or_nothing(spark, arrays(directed(df), zones.select("zone"), "distance"), od, [core])
+    return df.join(link_results(flows, df, [core]), "link_id").select("a_node", "b_node", "distance", F.col(f"{core}_tot").alias("flow"))

@@ -193,3 +193,19 @@ def convex_hull(points: DataFrame) -> list[tuple[float, float]]:
         yield pd.DataFrame(kept, columns=["x", "y"])
 
     return hull([tuple(r) for r in points.select("x", "y").mapInPandas(run, "x double, y double").collect()])
+
+
+def crossing(segments: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """(link_id, kind) of segments(link_id, x1, y1, x2, y2) against one polygon: inside, outside, or crossing (one end in)."""
+    points = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring])
+    a, b = inside_ring(F.col("x1"), F.col("y1"), points), inside_ring(F.col("x2"), F.col("y2"), points)
+    return segments.select("link_id", F.when(a & b, "inside").when(a | b, "crossing").otherwise("outside").alias("kind"))
+
+
+def mode_connectors(zones: DataFrame, nodes: DataFrame, modes: list[str], k: int = 1) -> DataFrame:
+    """(zone, node, distance, modes): for each mode the k nearest nodes(id, x, y, modes) that have it; a pair's modes are joined."""
+    out = None
+    for m in modes:
+        found = nearest(zones, nodes.where(F.contains("modes", F.lit(m))).select("id", "x", "y"), k).select(F.col("a").alias("zone"), F.col("b").alias("node"), "distance", F.lit(m).alias("mode"))
+        out = found if out is None else out.union(found)
+    return out.groupBy("zone", "node").agg(F.min("distance").alias("distance"), F.array_join(F.array_sort(F.collect_set("mode")), "").alias("modes"))

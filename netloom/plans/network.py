@@ -309,3 +309,20 @@ def compressed_cost(spark: SparkSession, d: str) -> DataFrame:
     links = D.links(spark, d).where("link_id % 4 <> 0")
     chain = G.chains(links, D.zones(spark, d).where("zone <= 5"))
     return G.compressed(G.directed(links), chain, ("distance",)).select("chain", "direction", "tail", "head", *r6("distance"))
+
+
+@query()
+def congested_skims(spark: SparkSession, d: str) -> DataFrame:
+    found = equilibrium(spark, d, "bfw", max_iterations=10, gap=1e-3)
+    return A.congested_skims(spark, found, D.zones(spark, d)).select("origin", "destination", *r6("cost", "congested_time"))
+
+
+@query(f"WITH {D.TRIPS_SQL} SELECT 'car' AS class, CAST(1.5 AS DOUBLE) AS pce, CAST(10 AS DOUBLE) AS vot, round(sum(trips), 6) AS total FROM od")
+def class_info(spark: SparkSession, d: str) -> DataFrame:
+    return A.class_info(D.demand(spark, d), [A.TrafficClass("car", "trips", 1.5, 10.0)]).select("class", "pce", "vot", *r6("total"))
+
+
+@query()
+def delaunay_assignment(spark: SparkSession, d: str) -> DataFrame:
+    z = D.points(spark, d, "nation", "n_nationkey").select((F.col("id") + 1).alias("zone"), "x", "y")
+    return A.delaunay_assignment(spark, z, D.demand(spark, d), "trips")

@@ -255,3 +255,27 @@ def spread_connectors(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     c = D.table(spark, d, "supplier").select((k % 10).alias("zone"), k.alias("node"), (k * 1000.0).alias("x"), F.lit(0.0).alias("y"), (k * 61 % 1009).cast("double").alias("distance"))
     return MM.spread(spark.range(10).select(F.col("id").alias("zone"), F.lit(3).alias("target")), c)
+
+
+@query(f"{POINTS}, {SEG_SQL}, s AS (SELECT link_id, x1 > 200.5 AND x1 < 700.5 AND y1 > 150.5 AND y1 < 650.5 AS a, x2 > 200.5 AND x2 < 700.5 AND y2 > 150.5 AND y2 < 650.5 AS b FROM seg) SELECT link_id, CASE WHEN a AND b THEN 'inside' WHEN a OR b THEN 'crossing' ELSE 'outside' END AS kind FROM s")
+def crossing_links(spark: SparkSession, d: str) -> DataFrame:
+    return P.crossing(_segments(spark, d), [(200.5, 150.5), (700.5, 150.5), (700.5, 650.5), (200.5, 650.5), (200.5, 150.5)])
+
+
+@query(f"{POINTS}, m AS (SELECT id, x, y, CASE id % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'w' ELSE 'cw' END AS modes FROM cus), k AS (SELECT unnest(['c', 'w']) AS mode), r AS (SELECT a.id AS zone, b.id AS node, mode, {DIST} AS dist, row_number() OVER (PARTITION BY a.id, mode ORDER BY {DIST}, b.id) AS rk FROM sup a CROSS JOIN m b JOIN k ON contains(b.modes, mode)) SELECT zone, node, round(min(dist), 6) AS distance, string_agg(mode, '' ORDER BY mode) AS modes FROM r WHERE rk = 1 GROUP BY zone, node")
+def mode_connectors(spark: SparkSession, d: str) -> DataFrame:
+    nodes = cus(spark, d).withColumn("modes", F.when(F.col("id") % 3 == 0, "c").when(F.col("id") % 3 == 1, "w").otherwise("cw"))
+    return P.mode_connectors(sup(spark, d), nodes, ["c", "w"]).select("zone", "node", *r6("distance"), "modes")
+
+
+@query("""WITH j AS (SELECT o_orderkey AS trip, o_orderkey % 5 AS pattern, CAST(o_orderkey * 617 % 86400 AS INTEGER) AS start, CAST(o_orderkey % 3 AS INTEGER) AS f FROM orders WHERE o_orderkey % 20 = 0),
+p AS (SELECT p AS pattern, CAST(s AS INTEGER) AS seq, p * 10 + s AS stop, 300 * s AS arr, 300 * s + 30 AS dep FROM (SELECT unnest(range(5)) AS p) CROSS JOIN (SELECT unnest(range(7)) AS s)),
+t AS (SELECT j.pattern, trip, seq - f AS seq, stop, (start + arr - (300 * f + 30)) AS a, (start + dep - (300 * f + 30)) AS d FROM j JOIN p ON j.pattern = p.pattern AND seq BETWEEN f AND 6)
+SELECT pattern, trip, CAST(seq AS INTEGER) AS seq, stop, CAST(a AS INTEGER) AS arrival, CAST(d AS INTEGER) AS departure FROM t""")
+def visum_schedule(spark: SparkSession, d: str) -> DataFrame:
+    from netloom.sources.networks import visum_schedule as schedule
+
+    k = F.col("o_orderkey")
+    j = D.table(spark, d, "orders").where("o_orderkey % 20 = 0").select(k.alias("trip"), (k % 5).alias("pattern"), (k * 617 % 86400).alias("dep"), (k % 3).cast("int").alias("from_seq"), F.lit(6).alias("to_seq"))
+    p = spark.range(5).select(F.col("id").alias("pattern"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("seq")).select("pattern", "seq", (F.col("pattern") * 10 + F.col("seq")).alias("stop"), (300 * F.col("seq")).alias("arr"), (300 * F.col("seq") + 30).alias("dep"))
+    return schedule(j, p)

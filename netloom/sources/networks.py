@@ -80,3 +80,30 @@ def connector_values(connectors: DataFrame) -> DataFrame:
 
 def inventory(layers: dict[str, DataFrame]) -> dict[str, int]:
     return {name: df.count() for name, df in layers.items()}
+
+
+def visum_schedule(journeys: DataFrame, profile: DataFrame) -> DataFrame:
+    """(pattern, trip, seq, stop, arrival, departure) of journeys(trip, pattern, dep, from_seq, to_seq) and profile items
+    profile(pattern, seq, stop, arr, dep): the journey's departure plus the profile's offsets from where it starts. Times that fall
+    behind the call before are a day later."""
+    from pyspark.sql import Window as W
+
+    j = journeys.select("trip", "pattern", F.col("dep").alias("start"), "from_seq", "to_seq")
+    rows = j.join(profile, "pattern").where("seq between from_seq and to_seq")
+    base = F.min(F.when(F.col("seq") == F.col("from_seq"), F.col("dep"))).over(W.partitionBy("trip"))
+    timed = rows.withColumn("arrival", F.col("start") + F.col("arr") - base).withColumn("departure", F.col("start") + F.col("dep") - base)
+    by = W.partitionBy("trip").orderBy("seq")
+    back = timed.withColumn("back", F.when(F.col("arrival") < F.lag("departure").over(by), 86_400).otherwise(0))
+    rolled = back.withColumn("late", F.sum("back").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return rolled.select("pattern", "trip", (F.col("seq") - F.col("from_seq")).cast("int").alias("seq"), "stop", (F.col("arrival") + F.col("late")).cast("int").alias("arrival"), (F.col("departure") + F.col("late")).cast("int").alias("departure"))
+
+
+def source_connectivity(links: DataFrame, connectors: DataFrame) -> DataFrame:
+    """(tail, head, mode): directed arcs by mode of links(a_node, b_node, modes_ab, modes_ba) and connectors(zone, node, way, modes), way O from the
+    zone and D to it; zones are negative."""
+    each = lambda c: F.explode(F.filter(F.split(c, ""), lambda m: m != ""))
+    ab = links.select(F.col("a_node").alias("tail"), F.col("b_node").alias("head"), each("modes_ab").alias("mode"))
+    ba = links.select(F.col("b_node"), F.col("a_node"), each("modes_ba"))
+    o = connectors.where("way = 'O'").select(-F.col("zone"), F.col("node"), each("modes"))
+    d = connectors.where("way = 'D'").select(F.col("node"), -F.col("zone"), each("modes"))
+    return ab.union(ba).union(o).union(d).distinct()
