@@ -53,10 +53,10 @@ def _loaded(g: K.GraphArrays, origin: int, targets: np.ndarray, values: np.ndarr
     return tree
 
 
-def all_or_nothing(spark: SparkSession, graph: K.GraphArrays, od: DataFrame, cores: list[str], blocked: bool = False) -> DataFrame:
+def all_or_nothing(spark: SparkSession, graph: K.GraphArrays, od: DataFrame, cores: list[str], blocked: bool = False, prepared: bool = False) -> DataFrame:
     """(edge, link_id, direction, *cores): demand on cheapest paths. Each task sums its origins' flows by edge before the shuffle.
 
-    Demand within a zone, and between zones without a path, is not loaded.
+    Demand within a zone, and between zones without a path, is not loaded. prepared: od comes from by_origin and isn't shuffled again.
     """
     reachable_package(spark)
     shared = spark.sparkContext.broadcast(graph)
@@ -70,7 +70,8 @@ def all_or_nothing(spark: SparkSession, graph: K.GraphArrays, od: DataFrame, cor
         yield pd.DataFrame({"edge": used, "link_id": g.link_id[used], "direction": g.direction[used]} | {c: flows[used, k] for k, c in enumerate(cores)})
 
     schema = "edge long, link_id long, direction long" + "".join(f", `{c}` double" for c in cores)
-    return by_origin(od, cores).mapInPandas(run, schema).groupBy("edge", "link_id", "direction").agg(*[F.sum(c).alias(c) for c in cores])
+    rows = od.select("origin", "destination", *cores) if prepared else by_origin(od, cores)
+    return rows.mapInPandas(run, schema).groupBy("edge", "link_id", "direction").agg(*[F.sum(c).alias(c) for c in cores])
 
 
 def link_results(flows: DataFrame, links: DataFrame, cores: list[str]) -> DataFrame:
@@ -254,7 +255,7 @@ def assign(
         for some in [list(range(len(classes)))] if same_cost else [[k] for k in range(len(classes))]:
             g.with_cost(times + fixed[:, some[0]])
             names = [classes[k].core for k in some]
-            found = all_or_nothing(spark, g, rows, names, blocked).toPandas()
+            found = all_or_nothing(spark, g, rows, names, blocked, prepared=True).toPandas()
             for k, n in zip(some, names, strict=True):
                 y[found["edge"].to_numpy(np.int64), k] = found[n].to_numpy()
         return y * pce
