@@ -291,3 +291,27 @@ def compressed(edges: DataFrame, chain: DataFrame, fields: tuple[str, ...]) -> D
     key = F.when(F.col("along") == 1, F.col("seq")).otherwise(-F.col("seq"))
     sums = rows.groupBy("chain", F.col("along").alias("direction")).agg(F.count("*").alias("m"), F.min_by("tail", key).alias("tail"), F.max_by("head", key).alias("head"), *[F.sum(f).alias(f) for f in fields])
     return sums.join(length, "chain").where("m = n and tail <> head").drop("m", "n")
+
+
+def a_star_paths(spark: SparkSession, graph: K.GraphArrays, pairs: DataFrame, places: DataFrame, kind: str = "haversine") -> DataFrame:
+    """(origin, destination, cost, links array<long>) of pairs by A*, with places(node, lon, lat); for distance costs. Null where there is no path."""
+    reachable_package(spark)
+    at = {r.node: (r.lon, r.lat) for r in places.select("node", "lon", "lat").collect()}
+    graph.points = np.array([at[int(n)] for n in graph.nodes])
+    shared = spark.sparkContext.broadcast(graph)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = shared.value
+        for pdf in batches:
+            out = []
+            for o, d in zip(pdf["origin"].tolist(), pdf["destination"].tolist(), strict=True):
+                if o not in g.place or d not in g.place:
+                    out.append((o, d, None, None))
+                    continue
+                tree = K.a_star(g, g.place[o], g.place[d], K.estimate(g.points, g.place[d], kind))
+                steps = K.path_edges(g, tree, g.place[d])
+                cost = float(tree.cost[g.place[d]])
+                out.append((o, d, cost if np.isfinite(cost) else None, (g.link_id[steps] * g.direction[steps]).tolist() if steps else None))
+            yield pd.DataFrame(out, columns=["origin", "destination", "cost", "links"])
+
+    return pairs.select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("destination")).repartition("destination").mapInPandas(run, "origin long, destination long, cost double, links array<long>")

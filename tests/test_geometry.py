@@ -100,3 +100,33 @@ def test_stream_of_passages(spark, tmp_path):
     finally:
         q.stop()
     assert got == {(1, 2, 3.0), (2, 1, 1.0)} == {(r.link, r.n, r.volume) for r in link_counts(rows).collect()}
+
+
+def test_a_star_finds_the_shortest(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    at = {k: (9 + 0.01 * (k % 8) + 0.002 * rng.uniform(), 48 + 0.01 * (k // 8) + 0.002 * rng.uniform()) for k in range(1, 65)}
+    rows = [(a, b) for a in at for b in (a + 1, a + 8) if b in at and (b != a + 1 or a % 8 != 7)]
+    links = pd.DataFrame({"link_id": range(1, len(rows) + 1), "a_node": [a for a, _ in rows], "b_node": [b for _, b in rows], "direction": 0, "distance": [1.01 * Y.geodesic(at[a], at[b]) * rng.uniform(1, 1.3) for a, b in rows]})
+    zones = spark.createDataFrame([(k,) for k in at], "zone long")
+    g = G.arrays(G.directed(spark.createDataFrame(links)), zones, "distance")
+    pairs = spark.createDataFrame([(a, b) for a in (1, 20, 37) for b in at], "origin long, destination long")
+    cost = {(r.origin, r.destination): r.cost for r in G.skims(spark, g, zones, []).collect()}
+    places_ = spark.createDataFrame([(k, *p) for k, p in at.items()], "node long, lon double, lat double")
+    for kind in ("haversine", "equirectangular"):
+        for r in G.a_star_paths(spark, g, pairs, places_, kind).collect():
+            assert r.cost == pytest.approx(cost[r.origin, r.destination]) and (r.links is None) == (r.origin == r.destination)
+
+
+def test_parameters(tmp_path):
+    from netloom.parameters import Parameters
+
+    Parameters().save(str(tmp_path / "p.json"))
+    assert Parameters.load(str(tmp_path / "p.json")) == Parameters()
+    (tmp_path / "q.json").write_text('{"assignment": {"gap": 0.01}}')
+    assert Parameters.load(str(tmp_path / "q.json")).assignment == {"max_iterations": 250, "gap": 0.01, "steps_below": 1}
+    (tmp_path / "q.json").write_text('{"assignment": {"colour": 1}}')
+    with pytest.raises(ValueError):
+        Parameters.load(str(tmp_path / "q.json"))
