@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and columns with clashing names."""
 
+import re
+
 import pandas as pd
 import pytest
 
@@ -222,6 +224,45 @@ def test_words_encode_as_the_library(spark):
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in packing.Words(tok).ids(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def shingles(text, words=5):
+    w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def pairs_that_share(texts):
+    by = {}
+    for d, s in texts.items():
+        for x in s:
+            by.setdefault(x, []).append(d)
+    return {(a, b) for ds in by.values() for k, a in enumerate(sorted(ds)) for b in sorted(ds)[k + 1 :]}
+
+
+def test_near_copies_in_large_bands(spark, monkeypatch):
+    """Blocks smaller than a band link what one block links."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(500)]
+    data, d = [], 0
+    for _ in range(5):
+        base = rng.choice(vocabulary, 120).tolist()
+        for _ in range(60):
+            words = list(base)
+            words[int(rng.integers(0, 120))] = f"x{rng.integers(0, 10)}"
+            data.append((d, " ".join(words)))
+            d += 1
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    whole = simhash.near_copies(df).toPandas().sort_values("doc_id").component_id.tolist()
+    assert whole == [k // 60 * 60 for k in range(300)]
+    rows = pd.DataFrame({"band": [7] * 300 + [8] * 2, "node": [*range(300), 500, 501], "marks": [simhash.sketch(simhash.shingle_hashes(t.encode(), 5)) for _, t in data] + [simhash.sketch(simhash.shingle_hashes(b"a b c d e f g", 5))] * 2})
+    monkeypatch.setattr(simhash, "HELD", 32)
+    got = pd.concat(simhash._grouped(0.8)(iter([rows[:70], rows[70:71], rows[71:200], rows[200:]])))
+    forest = common.Forest()
+    for a, b in zip(got.a.tolist(), got.b.tolist(), strict=True):
+        forest.join(a, b)
+    assert [forest.root(k) for k in range(300)] == whole and forest.root(501) == 500
+
+
 def test_pipeline_stages(spark, sf):
     """Each stage over its predecessor's rows, against brute force where there is one."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
@@ -235,19 +276,16 @@ def test_pipeline_stages(spark, sf):
             scores = toxicity.toxicity_scores(now, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 0")
             assert {r.doc_id for r in out.collect()} == {r.doc_id for r in scores.collect()}
         elif name == "simhash_dedup":
-            prints = [(r.doc_id, simhash.fingerprint(r.text.encode(), 5)) for r in now.orderBy("doc_id").collect()]
+            texts = {r.doc_id: shingles(r.text) for r in now.collect()}
             kept = {r.doc_id for r in out.collect()}
-            root = {i: i for i, _ in prints}
-            for a, (i, p) in enumerate(prints):
-                for j, q in prints[a + 1 :]:
-                    if (p ^ q).bit_count() <= 2:
-                        x, y = i, j
-                        while root[x] != x:
-                            x = root[x]
-                        while root[y] != y:
-                            y = root[y]
-                        root[max(x, y)] = min(x, y)
-            assert kept == {i for i in root if root[i] == i}
+            group = {r.doc_id: r.component_id for r in simhash.near_copies(now).collect()}
+            assert kept == set(group.values()) and out.count() == len(kept)
+            like = {}
+            for i, j in pairs_that_share(texts):
+                like[i, j] = len(texts[i] & texts[j]) / len(texts[i] | texts[j])
+            assert all(group[i] == group[j] for (i, j), x in like.items() if x >= 0.87) and sum(x >= 0.87 for x in like.values()) > 50
+            near = {i for (i, j), x in like.items() if x >= 0.7} | {j for (i, j), x in like.items() if x >= 0.7}
+            assert all(i in near for i in texts if i not in kept)
         elif name == "pii":
             assert out.count() == now.count() and out.where("text rlike '[a-z0-9]@[a-z0-9]+[.]'").count() == 0
         elif name == "packing":
