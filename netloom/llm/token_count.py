@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from netloom.llm.common import reachable
 
 LIBRARY_PATH = "byte_bpe_50k.json"
 #: Texts over CHUNK code points are encoded in chunks; the overlap doubles until the splice is proven.
-CHUNK, OVERLAP, BATCH = 1 << 15, 1 << 9, 1 << 20
+CHUNK, OVERLAP = 1 << 15, 1 << 9
 
 
 def vocabulary(name: str) -> str:
@@ -99,25 +100,69 @@ def chunked_count(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     return total + len(current.ids) - first
 
 
+#: Places where byte-level pre-tokens always part: before a single space that something else than white space follows, and around
+#: a lone line end between such. A piece so cut off has the same tokens alone as in its text.
+SPACES, LINES = re.compile(r" (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
+#: Pieces of letters (ASCII, Latin-1) with marks behind them; pieces remembered by a worker.
+SIMPLE, MEMORY_PIECES = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?@^_~]*)"), 400_000
+#: Byte-level vocabularies write bytes as characters; those that aren't printable follow from 256.
+BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def written(part: str) -> str:
+    return part.encode().decode("latin-1").translate(BYTES)
+
+
+class Pieces(dict):
+    """Token counts of pieces, found on first use and remembered; all with a space before them, or all without."""
+
+    def __init__(self, tok, before: str):
+        super().__init__()
+        self.tok, self.merge, self.before, self.mark, self.ends = tok, tok.model.tokenize, before, written(before), {"": 0}
+
+    def __missing__(self, piece: str) -> int:
+        if m := SIMPLE.fullmatch(piece):
+            word, end = m.groups()
+            if end not in self.ends:
+                self.ends[end] = len(self.merge(written(end)))
+            found = len(self.merge(self.mark + (word if word.isascii() else written(word)))) + self.ends[end]
+        else:
+            found = len(self.tok.encode_batch_fast([self.before + piece], add_special_tokens=False)[0].ids) if piece else 0
+        self[piece] = found
+        return found
+
+
+class Counter:
+    """Exact counts of texts, piece by piece."""
+
+    def __init__(self, tok):
+        self.first, self.rest = Pieces(tok, ""), Pieces(tok, " ")
+        self.line = len(tok.encode("\n", add_special_tokens=False).ids)
+
+    def count(self, text: str) -> int:
+        lines = text.split("\n")
+        if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            lines = LINES.split(text)
+        total, first, rest = self.line * (len(lines) - 1), self.first, self.rest.__getitem__
+        for line in lines:
+            plain = line.isprintable() and "  " not in line and line[-1:] != " "  # then all spaces are such places
+            head, *others = line.split(" ") if plain else SPACES.split(line)
+            total += first[head] + sum(map(rest, others))
+        for memory in (first, self.rest):
+            if len(memory) > MEMORY_PIECES:
+                memory.clear()
+        return total
+
+
+@lru_cache(2)
+def counter(tok) -> Counter:
+    return Counter(tok)
+
+
 def count_tokens(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    out, some, size = [0] * len(texts), [], 0
-
-    def flush():
-        for k, e in zip(some, tok.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
-            out[k] = len(e.ids)
-        some.clear()
-
-    for k, text in enumerate(texts):
-        if len(text) > chunk:
-            out[k] = chunked_count(tok, text, chunk, overlap)
-        elif text:
-            some.append(k)
-            size += len(text)
-            if size > BATCH:
-                flush()
-                size = 0
-    flush()
-    return out
+    """Tokens of each text: huge ones by chunks, others by their pieces, which a worker remembers."""
+    pieces = counter(tok)
+    return [chunked_count(tok, text, chunk, overlap) if len(text) > chunk else pieces.count(text) for text in texts]
 
 
 def token_counts(docs: DataFrame, name: str = LIBRARY_PATH, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -216,6 +216,16 @@ def test_splices_hold(spark):
         assert token_count.count_tokens(tok, texts, chunk, overlap) == whole
 
 
+def test_pieces_count_as_whole_texts():
+    import random
+
+    tok = token_count.tokenizer(token_count.vocabulary("byte_bpe_50k.json"))
+    r = random.Random(0)
+    parts = ["a", "B", "é", " ", "  ", "\n", ".", ",", "'", "s", "1", "<|endoftext|>", "\t", "ß", "日", "-", " ", "\u00a0", "\x1c", "\r", "don't", "\u0301"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(5000)]
+    assert token_count.count_tokens(tok, texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_words_encode_as_the_library(spark):
     import numpy as np
 
