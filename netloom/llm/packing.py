@@ -19,7 +19,7 @@ from netloom.llm.token_count import tokenizer, vocabulary
 
 CAPACITY, END = 2048, 1
 #: Windows packed together; words remembered by a worker.
-GROUP_WINDOWS, MEMORY_WORDS = 32, 600_000
+GROUP_WINDOWS, MEMORY_WORDS = 32, 300_000
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:

@@ -116,15 +116,20 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is the intercept, which has no penalty."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(len(w), penalty)
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 30, block: int = 2048) -> np.ndarray:
+    """Logistic regression of soft labels y on marks x (bytes of 0 and 1) by Newton steps, block by block; the last weight is the
+    intercept, which has no penalty."""
+    n = x.shape[1] + 1
+    w, ridge = np.zeros(n), np.full(n, penalty)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        slope, curve = ridge * w, np.diag(ridge)
+        for at in range(0, len(x), block):
+            some = np.concatenate([x[at : at + block].astype(np.float64), np.ones((len(x[at : at + block]), 1))], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(some @ w, -30, 30)))
+            slope = slope + some.T @ (p - y[at : at + block])
+            curve = curve + (some * (p * (1 - p))[:, None]).T @ some
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -182,7 +187,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         sample = marked.where(fold() != 0).orderBy((F.col("gold") < 0).cast("int"), hashed_order(), "doc_id").limit(SAMPLE).select("pattern", "terms", "gold").toPandas()
         pattern = sample["pattern"].to_numpy(np.int64)
-        x = np.zeros((len(sample), TERMS + VOTERS - LEXICONS))
+        x = np.zeros((len(sample), TERMS + VOTERS - LEXICONS), dtype=np.uint8)
         for k, t in enumerate(sample["terms"]):
             x[k, t] = 1
         x[:, TERMS:] = bits_of(pattern)[:, LEXICONS:]
