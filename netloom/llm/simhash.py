@@ -254,19 +254,19 @@ def _grouped(least: float):
                 forest.join(int(node[left[0]]), int(node[k]))
             sets.append(left[near])
             left = left[~near]
-        for i in range(len(sets)):
-            for j in range(i + 1, len(sets)):
-                if forest.root(int(node[sets[i][0]])) == forest.root(int(node[sets[j][0]])):
-                    continue
-                for k in sets[i]:
-                    hit = sets[j][alike(marks[k], marks[sets[j]]) >= least]
-                    if len(hit):
-                        forest.join(int(node[k]), int(node[hit[0]]))
-                        break
-        roots: dict[int, int] = {}
-        for s in sets:
-            roots.setdefault(forest.root(int(node[s[0]])), int(s[0]))
-        return list(roots.values())
+        part = np.zeros(len(node), dtype=np.int64)  # the joined set of each row
+        for i, s in enumerate(sets):
+            part[s] = i
+        for s in sorted(sets, key=len)[:-1]:
+            for k in s:
+                others = np.flatnonzero(part != part[k])
+                hit = others[alike(marks[k], marks[others]) >= least]
+                for i in np.unique(part[hit]):
+                    forest.join(int(node[k]), int(node[hit[part[hit] == i][0]]))
+                    part[part == i] = part[k]
+                if len(others) == 0:
+                    break
+        return [int(np.flatnonzero(part == i)[0]) for i in np.unique(part)]
 
     def settle(node: np.ndarray, marks: np.ndarray, forest: Forest) -> np.ndarray:
         on = np.empty(0, dtype=np.intp)
@@ -324,12 +324,14 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 2, least: float = 0
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profiles = Table(rows.mapInPandas(_profiles(words), "doc_id long, fp long, same long, marks binary, bands array<long>"), "profiles").df
     nodes = Table(profiles.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("marks").alias("marks"), F.first("bands").alias("bands")), "nodes").df
-    banded = nodes.select(F.explode("bands").alias("band"), "node", "marks").repartition("band").sortWithinPartitions("band", "node").mapInPandas(_grouped(least), "a long, b long")
+    banded = nodes.select(F.explode("bands").alias("band"), "node", "marks").repartition("band").sortWithinPartitions("band", "node")
+    found = Table(banded.mapInPandas(_grouped(least), "a long, b long"), "banded").df  # written, so that no task needs two Python workers
     prints = Table(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints").df
     same = nodes.select("fp", F.col("node").alias("a")).join(prints.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
     pairs = link_prints(prints, bits).union(same)
     sides = pairs.join(nodes.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(nodes.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
-    linked = components(banded.union(sides.select("a", "b", "ma", "mb").mapInPandas(_verified_pairs(least), "a long, b long")))
+    more = Table(sides.select("a", "b", "ma", "mb").mapInPandas(_verified_pairs(least), "a long, b long"), "verified").df
+    linked = components(found.union(more))
     classes = Table(nodes.select("same", "node").join(linked, "node", "left").selectExpr("same", "coalesce(component, node) component_id"), "classes").df
     return profiles.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
 
