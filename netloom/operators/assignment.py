@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.vdf import vdf
 from netloom.operators import kernels as K
-from netloom.operators.graph import arrays, reachable_package
+from netloom.operators.graph import arrays, reachable_package, spread
 
 ALGORITHMS = {"all-or-nothing": "all-or-nothing", "msa": "msa", "fw": "fw", "frank-wolfe": "fw", "cfw": "cfw", "bfw": "bfw"}
 
@@ -23,7 +23,7 @@ def by_origin(od: DataFrame, cores: list[str]) -> DataFrame:
     """Demand that can be loaded, with an origin's rows together: positive cells off the diagonal."""
     some = " OR ".join(f"`{c}` > 0" for c in cores)
     rows = od.where("origin <> destination").where(some).select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("destination"), *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cores])
-    return rows.repartition("origin").sortWithinPartitions("origin", "destination")
+    return spread(rows, "origin").sortWithinPartitions("origin", "destination")
 
 
 def _origins(batches: Iterator[pd.DataFrame], cores: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -27,6 +27,13 @@ def reachable_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt out by columns to a stated number of partitions: rows that cost much work are few bytes, and adaptive execution would
+    put them all in one task."""
+    spark = df.sparkSession
+    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *columns)
+
+
 def validate_links(links: DataFrame) -> DataFrame:
     """Lower-cases names; raises for missing columns, a field with only one of _ab and _ba, repeated ids or a wrong direction."""
     links = links.toDF(*[c.lower() for c in links.columns])
@@ -124,7 +131,7 @@ def per_origin(spark: SparkSession, graph: K.GraphArrays, origins: DataFrame, wo
                 if o in g.place:
                     yield work(g, K.shortest_tree(g, g.place[o], blocked))
 
-    return origins.select(F.col("origin").cast("long").alias("origin")).distinct().repartition("origin").mapInPandas(run, schema)
+    return spread(origins.select(F.col("origin").cast("long").alias("origin")).distinct(), "origin").mapInPandas(run, schema)
 
 
 def skims(spark: SparkSession, graph: K.GraphArrays, zones: DataFrame, names: list[str], blocked: bool = False) -> DataFrame:
@@ -177,7 +184,7 @@ def paths(spark: SparkSession, graph: K.GraphArrays, pairs: DataFrame, blocked:
                 out.append((o, d, [dict(zip(("link_id", "direction", "node", "milepost"), s, strict=True)) for s in steps] or None))
             yield pd.DataFrame(out, columns=["origin", "destination", "path"])
 
-    ordered = pairs.select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("destination")).repartition("origin").sortWithinPartitions("origin")
+    ordered = spread(pairs.select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("destination")), "origin").sortWithinPartitions("origin")
     return ordered.mapInPandas(run, "origin long, destination long, path array<struct<link_id:long,direction:long,node:long,milepost:double>>")
 
 
@@ -194,7 +201,7 @@ def disconnected(spark: SparkSession, graph: K.GraphArrays, zones: DataFrame, bl
                 seen = K.reachable(g, g.place[o], blocked)
                 yield pd.DataFrame({"origin": o, "destination": g.nodes[z[~seen[z]]]})
 
-    return zones.select(F.col("zone").cast("long").alias("zone")).mapInPandas(run, "origin long, destination long")
+    return spread(zones.select(F.col("zone").cast("long").alias("zone")), "zone").mapInPandas(run, "origin long, destination long")
 
 
 def min_plus(edges: DataFrame, origins: DataFrame, cost: str, rounds: int = 64) -> DataFrame:
@@ -314,4 +321,4 @@ def a_star_paths(spark: SparkSession, graph: K.GraphArrays, pairs: DataFrame, pl
                 out.append((o, d, cost if np.isfinite(cost) else None, (g.link_id[steps] * g.direction[steps]).tolist() if steps else None))
             yield pd.DataFrame(out, columns=["origin", "destination", "cost", "links"])
 
-    return pairs.select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("destination")).repartition("destination").mapInPandas(run, "origin long, destination long, cost double, links array<long>")
+    return spread(pairs.select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("destination")), "destination").mapInPandas(run, "origin long, destination long, cost double, links array<long>")

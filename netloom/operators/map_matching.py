@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from netloom.functions import geometry as Y
 from netloom.operators import kernels as K
 from netloom.operators.graph import reachable_package
+from netloom.operators.graph import spread as spread_rows
 
 #: Fixed values, in metres: a link along the shape costs DISCOUNT of its length; how near a stop's link must be, of the route's mode and
 #: of any; how much longer a preferred path may be.
@@ -152,7 +153,7 @@ def match_patterns(spark: SparkSession, links: DataFrame, patterns: DataFrame) -
             yield pd.DataFrame(out, columns=["key", "accepted", "reason", "failed_at", "links", "length"])
 
     keyed = patterns.selectExpr("pattern", "stops", "shape", "mode", "xxhash64(stops, shape, mode) key")
-    once = keyed.dropDuplicates(["key"]).repartition("key").mapInPandas(run, "key long, accepted boolean, reason string, failed_at int, links array<long>, length double")
+    once = spread_rows(keyed.dropDuplicates(["key"]), "key").mapInPandas(run, "key long, accepted boolean, reason string, failed_at int, links array<long>, length double")
     return keyed.select("pattern", "key").join(once, "key").drop("key")
 
 

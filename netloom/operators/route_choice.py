@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.scalars import inverse_binary_logit
 from netloom.operators import kernels as K
-from netloom.operators.graph import reachable_package
+from netloom.operators.graph import reachable_package, spread
 
 PARAMETERS = {"max_routes", "max_depth", "max_misses", "penalty", "seed"}
 PAIR = ["origin", "destination"]
@@ -38,7 +38,7 @@ def route_sets(spark: SparkSession, graph: K.GraphArrays, pairs: DataFrame, meth
                         rows.append((o, d, (g.link_id[r] * g.direction[r]).tolist(), float(g.cost[r].sum())))
             yield pd.DataFrame(rows, columns=["origin", "destination", "route", "cost"])
 
-    keyed = pairs.select(*[F.col(c).cast("long").alias(c) for c in PAIR]).distinct().repartition(*PAIR)
+    keyed = spread(pairs.select(*[F.col(c).cast("long").alias(c) for c in PAIR]).distinct(), *PAIR)
     return keyed.mapInPandas(run, "origin long, destination long, route array<long>, cost double")
 
 

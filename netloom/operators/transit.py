@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators import kernels as K
-from netloom.operators.graph import reachable_package
+from netloom.operators.graph import reachable_package, spread
 
 INFINITE = float("inf")
 #: Fixed values, in seconds: dwell at a stop's platform, penalty of alighting and transfers, stop time between segments; metres a second on foot.
@@ -170,7 +170,7 @@ def optimal_strategies(spark: SparkSession, edges: DataFrame, demand: DataFrame,
 
     rows = demand.where(F.col(core) > 0 if not names else F.lit(True)).select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("destination"), F.col(core).cast("double").alias("trips"))
     schema = "edge long, origin long, destination long, value double" + "".join(f", `{n}` double" for n in names)
-    both = rows.repartition("destination").sortWithinPartitions("destination").mapInPandas(run, schema).persist()
+    both = spread(rows, "destination").sortWithinPartitions("destination").mapInPandas(run, schema).persist()
     return both.where("edge is not null").groupBy("edge").agg(F.sum("value").alias("volume")), both.where("edge is null").select("origin", "destination", F.col("value").alias("time"), *names)
 
 
