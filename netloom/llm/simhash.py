@@ -191,7 +191,7 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2, limit: in
 
 #: Min-wise keys: BANDS of ROWS smallest permuted hashes each; texts of similarity 0.8 share a band with probability 0.997.
 BANDS, ROWS, BINS = 8, 3, 256
-#: Rows of a key that are held and compared at once.
+#: A key of more rows is compared in blocks of about so many, each with each.
 HELD = 4096
 
 
@@ -241,11 +241,11 @@ def _profiles(words: int):
 def _grouped(least: float):
     """Rows (band, node, marks) sorted by band: spanning links (a, b) of rows of a band that are alike by `least`.
 
-    Rows are compared with a leader, what is left with the next, and then sets that aren't joined with each other. Of a band with
-    over HELD rows, blocks are worked on in turn, one row of each set so far going on to the next block.
+    Rows are compared with a leader, what is left with the next, and then sets that aren't joined with each other: any two
+    rows of a band are compared unless they are joined already. A band is held whole (see in_blocks).
     """
 
-    def links(node: np.ndarray, marks: np.ndarray, forest: Forest) -> list[int]:
+    def links(node: np.ndarray, marks: np.ndarray, forest: Forest) -> None:
         left, sets = np.arange(len(node)), []
         while len(left):
             near = alike(marks[left[0]], marks[left]) >= least
@@ -266,14 +266,6 @@ def _grouped(least: float):
                     part[part == i] = part[k]
                 if len(others) == 0:
                     break
-        return [int(np.flatnonzero(part == i)[0]) for i in np.unique(part)]
-
-    def settle(node: np.ndarray, marks: np.ndarray, forest: Forest) -> np.ndarray:
-        on = np.empty(0, dtype=np.intp)
-        for at in range(0, len(node), HELD):
-            block = np.concatenate([on, np.arange(at, min(len(node), at + HELD))])
-            on = block[links(node[block], marks[block], forest)]
-        return on
 
     def stars(forest: Forest) -> pd.DataFrame:
         a, b = forest.stars()
@@ -289,19 +281,27 @@ def _grouped(least: float):
             forest, starts = Forest(), np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
             for i, j in zip(starts[:-1], starts[1:], strict=True):
                 if j - i > 1:
-                    settle(node[i:j], marks[i:j], forest)
+                    links(node[i:j], marks[i:j], forest)
             band, node, marks = (x[starts[-1] :] for x in (band, node, marks))  # this band may go on
-            if len(band) > HELD:
-                on = settle(node, marks, forest)
-                band, node, marks = band[on], node[on], marks[on]
             yield stars(forest)
         forest = Forest()
-        settle(node, marks, forest)
+        links(node, marks, forest)
         yield stars(forest)
 
     return run
 
 
+def in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key long, node, ...) with keys of over HELD rows split: their rows are dealt into blocks of about HELD by hash,
+    and each pair of blocks becomes a key of its own, so that any two rows of a key meet in one of at most about 2 HELD rows."""
+    held = HELD
+    large = Table(rows.groupBy(key).count().where(F.col("count") > held).select(key, F.ceil(F.col("count") / held).cast("int").alias("__m")), "large").df
+    each = rows.join(small_side(large), key, "left").withColumn("__m", F.coalesce("__m", F.lit(1)))
+    each = each.withColumn("__block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("__m")).cast("int")).withColumn("__other", F.explode(F.expr("sequence(0, __m - 1)")))
+    pair = F.xxhash64(key, F.least("__block", "__other"), F.greatest("__block", "__other"))
+    return each.withColumn(key, F.when(F.col("__m") == 1, F.col(key)).otherwise(pair)).select(rows.columns)
+
+
 def _verified_pairs(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -324,7 +324,7 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 2, least: float = 0
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profiles = Table(rows.mapInPandas(_profiles(words), "doc_id long, fp long, same long, marks binary, bands array<long>"), "profiles").df
     nodes = Table(profiles.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("marks").alias("marks"), F.first("bands").alias("bands")), "nodes").df
-    banded = nodes.select(F.explode("bands").alias("band"), "node", "marks").repartition("band").sortWithinPartitions("band", "node")
+    banded = in_blocks(nodes.select(F.explode("bands").alias("band"), "node", "marks"), "band").repartition("band").sortWithinPartitions("band", "node")
     found = Table(banded.mapInPandas(_grouped(least), "a long, b long"), "banded").df  # written, so that no task needs two Python workers
     prints = Table(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints").df
     same = nodes.select("fp", F.col("node").alias("a")).join(prints.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")

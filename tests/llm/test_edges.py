@@ -273,6 +273,28 @@ def test_near_copies_in_large_bands(spark, monkeypatch):
     assert [forest.root(k) for k in range(300)] == whole and forest.root(501) == 500
 
 
+def test_drifting_chains_in_large_bands(spark, monkeypatch):
+    """A chain of edited copies, each like its neighbours only, doesn't fall apart in a band far over HELD."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words, marks = [f"w{k}" for k in range(160)], []
+    for k in range(100):
+        words[96 + 7 * k % 64] = f"x{k}"
+        marks.append(simhash.sketch(simhash.shingle_hashes(" ".join(words).encode(), 5)))
+    order = rng.permutation(100)
+    rows = pd.DataFrame({"band": [7] * 100, "node": order, "marks": [marks[k] for k in order]})
+    monkeypatch.setattr(simhash, "HELD", 8)
+    got = pd.concat(simhash._grouped(0.8)(iter([rows[:50], rows[50:]])))
+    forest = common.Forest()
+    for a, b in zip(got.a.tolist(), got.b.tolist(), strict=True):
+        forest.join(a, b)
+    assert {forest.root(k) for k in range(100)} == {0}
+    keys = spark.createDataFrame([(1, k) for k in range(40)] + [(2, k) for k in range(5)], "band long, node long")
+    met = simhash.in_blocks(keys, "band").toPandas().groupby("band").node.apply(set).tolist()
+    assert all(any({a, b} <= m for m in met) for a in range(40) for b in range(40)) and set(range(5)) in met and max(map(len, met)) < 40
+
+
 def test_pipeline_stages(spark, sf):
     """Each stage over its predecessor's rows, against brute force where there is one."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
