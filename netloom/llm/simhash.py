@@ -191,6 +191,8 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2, limit: in
 
 #: Min-wise keys: BANDS of ROWS smallest permuted hashes each; texts of similarity 0.8 share a band with probability 0.997.
 BANDS, ROWS, BINS = 8, 3, 256
+#: Pairs are examined exactly if their estimated likeness is over the limit less this, four standard errors of it.
+SLACK = 0.1
 #: A key of more rows is compared in blocks of about so many, each with each.
 HELD = 4096
 
@@ -224,43 +226,63 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)) for k in range(BANDS)]
 
 
+def same_set(once: np.ndarray) -> int:
+    """A hash of a set of shingles, of its distinct hashes in order."""
+    return signed(xxhash.xxh64_intdigest(once.tobytes()))
+
+
 def _profiles(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 h = shingle_hashes(text, words)
-                marks = sketch(h)
-                fp = signed(majority(h))
-                rows.append((doc, fp, signed(xxhash.xxh64_intdigest(marks, fp & 0xFFFFFFFF)), marks, band_keys(h)))
+                once = np.unique(h)
+                rows.append((doc, signed(majority(h)), same_set(once), sketch(once), band_keys(once)))
             yield pd.DataFrame(rows, columns=["doc_id", "fp", "same", "marks", "bands"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def _grouped(least: float):
+def _grouped(least: float, exact: float | None = None):
     """Rows (band, node, marks) sorted by band: spanning links (a, b) of rows of a band that are alike by `least`.
 
     Rows are compared with a leader, what is left with the next, and then sets that aren't joined with each other: any two
-    rows of a band are compared unless they are joined already. A band is held whole (see in_blocks).
+    rows of a band are compared unless they are joined already. A band is held whole (see in_blocks). With `exact`, rows also
+    have `shingles` (distinct hashes, 8 bytes each), and of those alike by `least` the Jaccard similarity of these decides.
     """
 
-    def links(node: np.ndarray, marks: np.ndarray, forest: Forest) -> None:
+    def links(node: np.ndarray, marks: np.ndarray, sets_of: np.ndarray, forest: Forest) -> None:
+        ids = [np.frombuffer(x, dtype=np.uint64) for x in sets_of]
+        if exact is not None:
+            place = np.unique(np.concatenate(ids), return_inverse=True)[1] if ids else np.empty(0, dtype=np.intp)
+            ids = np.split(place, np.cumsum([len(x) for x in ids])[:-1])
+            here = np.zeros(len(place), dtype=bool)
+
+        def near(k: int, others: np.ndarray) -> np.ndarray:
+            hit = alike(marks[k], marks[others]) >= least
+            if exact is not None and hit.any():
+                here[ids[k]] = True
+                both = np.array([here[ids[r]].sum() for r in others[hit]])
+                here[ids[k]] = False
+                hit[hit] = both / np.maximum(len(ids[k]) + np.array([len(ids[r]) for r in others[hit]]) - both, 1) >= exact
+            return hit
+
         left, sets = np.arange(len(node)), []
         while len(left):
-            near = alike(marks[left[0]], marks[left]) >= least
-            near[0] = True
-            for k in left[near][1:]:
+            hit = near(left[0], left)
+            hit[0] = True
+            for k in left[hit][1:]:
                 forest.join(int(node[left[0]]), int(node[k]))
-            sets.append(left[near])
-            left = left[~near]
+            sets.append(left[hit])
+            left = left[~hit]
         part = np.zeros(len(node), dtype=np.int64)  # the joined set of each row
         for i, s in enumerate(sets):
             part[s] = i
         for s in sorted(sets, key=len)[:-1]:
             for k in s:
                 others = np.flatnonzero(part != part[k])
-                hit = others[alike(marks[k], marks[others]) >= least]
+                hit = others[near(k, others)]
                 for i in np.unique(part[hit]):
                     forest.join(int(node[k]), int(node[hit[part[hit] == i][0]]))
                     part[part == i] = part[k]
@@ -272,20 +294,21 @@ def _grouped(least: float):
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        band, node, marks = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, BINS), dtype=np.uint8)
+        band, node, marks, sets_of = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, BINS), dtype=np.uint8), np.empty(0, dtype=object)
         for pdf in batches:
             if not len(pdf):
                 continue
             band, node = np.concatenate([band, pdf["band"].to_numpy(np.int64)]), np.concatenate([node, pdf["node"].to_numpy(np.int64)])
             marks = np.concatenate([marks, np.frombuffer(b"".join(pdf["marks"]), dtype=np.uint8).reshape(-1, BINS)])
+            sets_of = np.concatenate([sets_of, pdf["shingles"].to_numpy(object) if exact is not None else np.full(len(pdf), b"", dtype=object)])
             forest, starts = Forest(), np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
             for i, j in zip(starts[:-1], starts[1:], strict=True):
                 if j - i > 1:
-                    links(node[i:j], marks[i:j], forest)
-            band, node, marks = (x[starts[-1] :] for x in (band, node, marks))  # this band may go on
+                    links(node[i:j], marks[i:j], sets_of[i:j], forest)
+            band, node, marks, sets_of = (x[starts[-1] :] for x in (band, node, marks, sets_of))  # this band may go on
             yield stars(forest)
         forest = Forest()
-        links(node, marks, forest)
+        links(node, marks, sets_of, forest)
         yield stars(forest)
 
     return run
@@ -302,13 +325,17 @@ def in_blocks(rows: DataFrame, key: str) -> DataFrame:
     return each.withColumn(key, F.when(F.col("__m") == 1, F.col(key)).otherwise(pair)).select(rows.columns)
 
 
-def _verified_pairs(least: float):
+def _shingled(words: int):
+    """Rows (band, node, same, text): (band, node, marks, shingles) of those whose text has the set of shingles `same`."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            one, two = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(-1, BINS) for c in ("ma", "mb"))
-            used = (one != 0) | (two != 0)
-            good = ((one == two) & used).sum(axis=1) >= least * used.sum(axis=1)
-            yield pdf.loc[good, ["a", "b"]]
+            rows = []
+            for band, node, same, text in zip(pdf["band"].tolist(), pdf["node"].tolist(), pdf["same"].tolist(), pdf["text"], strict=True):
+                once = np.unique(shingle_hashes(text, words))
+                if same_set(once) == same:
+                    rows.append((band, node, sketch(once), once.tobytes()))
+            yield pd.DataFrame(rows, columns=["band", "node", "marks", "shingles"])
 
     return run
 
@@ -316,22 +343,25 @@ def _verified_pairs(least: float):
 def near_copies(docs: DataFrame, words: int = 5, bits: int = 2, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each row of docs(doc_id, text) with a doc_id: components of texts alike by `least`.
 
-    Likeness is the Jaccard similarity of the sets of shingles, estimated from 256 marks (standard error 0.025 at 0.8). Pairs
-    to compare come from the Golay keys of SimHash fingerprints and, since at two bits those find few pairs below a likeness of
-    0.95, from keys of min-wise hashes. Texts without a word are one group. A null doc_id is left out.
+    Likeness is the Jaccard similarity of the sets of shingles. Groups that may hold such texts come from the Golay keys of
+    SimHash fingerprints and, since at two bits those find few pairs below a likeness of 0.95, from keys of min-wise hashes with
+    an estimate from 256 marks of `least` less SLACK (four standard errors) or more. Within a group, any two texts that pass that
+    estimate are compared by their whole sets. Texts without a word are one group. A null doc_id is left out.
     """
     reachable(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profiles = Table(rows.mapInPandas(_profiles(words), "doc_id long, fp long, same long, marks binary, bands array<long>"), "profiles").df
     nodes = Table(profiles.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("marks").alias("marks"), F.first("bands").alias("bands")), "nodes").df
     banded = in_blocks(nodes.select(F.explode("bands").alias("band"), "node", "marks"), "band").repartition("band").sortWithinPartitions("band", "node")
-    found = Table(banded.mapInPandas(_grouped(least), "a long, b long"), "banded").df  # written, so that no task needs two Python workers
+    found = Table(banded.mapInPandas(_grouped(least - SLACK), "a long, b long"), "banded").df  # written, so that no task needs two Python workers
     prints = Table(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints").df
     same = nodes.select("fp", F.col("node").alias("a")).join(prints.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
-    pairs = link_prints(prints, bits).union(same)
-    sides = pairs.join(nodes.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(nodes.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
-    more = Table(sides.select("a", "b", "ma", "mb").mapInPandas(_verified_pairs(least), "a long, b long"), "verified").df
-    linked = components(found.union(more))
+    maybe = components(found.union(link_prints(prints, bits)).union(same))
+    members = Table(nodes.select("same", "node").join(maybe, "node").select("node", "same", F.col("component").alias("band")), "members").df
+    texts = rows.join(small_side(members), F.col("doc_id") == F.col("node")).select("band", "node", "same", "text")
+    sets = Table(texts.mapInPandas(_shingled(words), "band long, node long, marks binary, shingles binary"), "sets").df
+    grouped = in_blocks(sets, "band").repartition("band").sortWithinPartitions("band", "node")
+    linked = components(Table(grouped.mapInPandas(_grouped(least - SLACK, least), "a long, b long"), "exact").df)
     classes = Table(nodes.select("same", "node").join(linked, "node", "left").selectExpr("same", "coalesce(component, node) component_id"), "classes").df
     return profiles.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
 

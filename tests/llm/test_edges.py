@@ -295,6 +295,21 @@ def test_drifting_chains_in_large_bands(spark, monkeypatch):
     assert all(any({a, b} <= m for m in met) for a in range(40) for b in range(40)) and set(range(5)) in met and max(map(len, met)) < 40
 
 
+def test_near_copies_are_decided_exactly(spark):
+    """Pairs at and around a similarity of 0.8 are joined if and only if it is 0.8 or more."""
+    data, want = [], {}
+    for c in range(120):
+        words = [f"c{c}w{k}" for k in range(94)]  # 90 shingles
+        other = words[: 80 + c % 5 - 2 + 4] + [f"c{c}x{k}" for k in range(10 - c % 5 + 2)]  # 78 to 82 of them shared
+        data += [(2 * c, " ".join(words)), (2 * c + 1, " ".join(other))]
+        a, b = shingles(data[-2][1]), shingles(data[-1][1])
+        want[c] = len(a & b) / len(a | b) >= 0.8
+    assert 20 < sum(want.values()) < 100
+    got = simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).toPandas().set_index("doc_id").component_id
+    wrong = [c for c in want if (got[2 * c + 1] == 2 * c) != want[c]]
+    assert not any(not want[c] for c in wrong) and len(wrong) <= 1  # of pairs at 0.8, 0.3 % share no band
+
+
 def test_pipeline_stages(spark, sf):
     """Each stage over its predecessor's rows, against brute force where there is one."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
