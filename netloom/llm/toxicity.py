@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import Table, fold, hashed_order, reachable
 
-#: Terms are counted, and the classifier fitted, on at most so many labelled rows, drawn by hash.
+#: Terms are counted on at most so many labelled rows, and the classifier fitted on as many rows, labelled or not, drawn by hash.
 SAMPLE = 20_000
 #: Terms kept for the voters and the classifier; lexicon voters; voters in all.
 TERMS, LEXICONS, VOTERS = 512, 10, 16
@@ -185,14 +185,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         weights[: len(lexicon.rank)], weights[-1] = 4.0, -2.0
     else:
-        sample = marked.where(fold() != 0).orderBy((F.col("gold") < 0).cast("int"), hashed_order(), "doc_id").limit(SAMPLE).select("pattern", "terms", "gold").toPandas()
+        sample = marked.where(fold() != 0).orderBy(hashed_order(), "doc_id").limit(SAMPLE).select("pattern", "terms").toPandas()
         pattern = sample["pattern"].to_numpy(np.int64)
         x = np.zeros((len(sample), TERMS + VOTERS - LEXICONS), dtype=np.uint8)
         for k, t in enumerate(sample["terms"]):
             x[k, t] = 1
         x[:, TERMS:] = bits_of(pattern)[:, LEXICONS:]
-        y = np.where(sample["gold"] >= 0, sample["gold"], model.posterior(pattern))
-        weights = fit_linear(x, y)
+        weights = fit_linear(x, model.posterior(pattern))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

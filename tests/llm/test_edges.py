@@ -247,6 +247,15 @@ def pairs_that_share(texts):
     return {(a, b) for ds in by.values() for k, a in enumerate(sorted(ds)) for b in sorted(ds)[k + 1 :]}
 
 
+def test_classifier_is_fitted_on_posteriors(spark, sf, monkeypatch):
+    """Also where labelled rows would fill the sample, the label model's posteriors of rows drawn regardless of labels are fitted."""
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE", 200)
+    monkeypatch.setattr(toxicity, "fit_linear", lambda x, y, fit=toxicity.fit_linear: seen.append(y) or fit(x, y))
+    toxicity.toxicity_scores(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).count()
+    assert len(seen[0]) == 200 and ((seen[0] > 0) & (seen[0] < 1)).all()
+
+
 def test_near_copies_in_large_bands(spark, monkeypatch):
     """Blocks smaller than a band link what one block links."""
     import numpy as np
