@@ -16,8 +16,20 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows and bytes of a batch that a Python worker is handed at once; texts are long, and a worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package where they share the file system; elsewhere ship it with --py-files."""
+    """Let Python workers import this package where they share the file system; elsewhere ship it with --py-files.
+
+    Also lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES where they are larger.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, "0")
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
