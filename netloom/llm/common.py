@@ -27,8 +27,8 @@ def reachable(spark: SparkSession) -> None:
     """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, "0")
-        if not now.isdigit() or int(now) > most or int(now) <= 0:
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or int(now) > most or int(now) == 0:
             spark.conf.set(key, str(most))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
