@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -40,9 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset, as in local tests."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
-        path = tempfile.mkdtemp(prefix="netloom-", dir="/tmp")
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="netloom-", dir="/tmp"))
+        path = sc.getCheckpointDir()
     return f"{path.rstrip('/')}/netloom-{sc.applicationId}"
 
 
@@ -56,6 +59,8 @@ class Table:
         schema = df.schema
         df.write.parquet(self.path)
         self.df = spark.read.schema(schema).parquet(self.path)
+        if Scope.open:
+            Scope.open[-1].tables.append(self)
 
     def drop(self) -> None:
         sc = self.spark.sparkContext
@@ -63,13 +68,59 @@ class Table:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A side of a join is broadcast if it has so many rows at most (counted first); a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+class Scope:
+    """On leaving, drops the tables that were written inside; those given to keep() belong to the scope around it."""
+
+    open: ClassVar[list[Scope]] = []
+
+    def __enter__(self) -> Scope:
+        self.tables: list[Table] = []
+        self.kept: list[Table] = []
+        Scope.open.append(self)
+        return self
+
+    def keep(self, table: Table) -> DataFrame:
+        self.kept.append(table)
+        return table.df
+
+    def __exit__(self, *_) -> None:
+        Scope.open.pop()
+        for table in self.tables:
+            if table not in self.kept:
+                table.drop()
+        if Scope.open:
+            Scope.open[-1].tables += self.kept
+
+
+#: A written side of a join is broadcast up to so many rows, and up to so many bytes of files.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+#: A key with over so many rows on the long side of a join is hot.
+HOT_ROWS = 100_000
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Catalyst's estimate: for a written table, the bytes of its files by the share of its columns."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count finds it small. For narrow tables that are already written (see Table)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if a count of its rows and the bytes of its files find it small. For tables that are already written (see Table)."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
+
+
+def join_hot(long: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner", hot: int | None = None) -> DataFrame:
+    """long joined with a written table of one row for each of the keys, of which column n has the key's rows in long.
+
+    A small table is broadcast. Else rows of hot keys (at most rows of long / HOT_ROWS of them, so a bounded list) are joined with
+    a broadcast of these alone, in place, and the rest by a shuffle in which no key is large. n isn't returned.
+    """
+    small = small_side(table)
+    if small is not table:
+        return long.join(small.drop(n), keys, how)
+    few = table.where(F.col(n) > (HOT_ROWS if hot is None else hot))
+    told = long.join(F.broadcast(few.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
+    in_place = told.where("__hot").drop("__hot").join(F.broadcast(few.drop(n)), keys)
+    return in_place.unionByName(told.where("__hot is null").drop("__hot").join(table.where(F.col(n) <= (HOT_ROWS if hot is None else hot)).drop(n), keys, how))
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -118,11 +169,16 @@ def spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.array(a, dtype="int64"), "b": np.array(b, dtype="int64")})
 
 
+#: Edges that one task of a round of components() writes.
+EDGES_TASK = 20_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a long, b long): (node, component), component the smallest node.
 
     Large-star and small-star rounds (Kiveris et al., 2014): each node's smallest neighbour is found by a partial
-    aggregate, so a hub costs a row for each task, and only O(edges) rows are written a round, to the shared folder.
+    aggregate, so a hub costs a row for each task; the edges of a hub are joined in place (join_hot); and only O(edges) rows are
+    written a round, to the shared folder.
     Nodes without an edge to another node are not returned. Null ends and loops are ignored. No edges: no rows.
     """
     now = Table(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").mapInPandas(spanning, "a long, b long").distinct(), "edges")
@@ -132,14 +188,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     seen = mark(now.df)
     for _ in range(rounds if seen[0] else 0):
+        tasks = 1 + seen[0] // EDGES_TASK
         both = now.df.union(now.df.selectExpr("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.join(low, "a").where("b > a").selectExpr("b a", "m b").where("a <> b")
-        large = large.selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").selectExpr("b a", "m b").where("a <> b").union(least.selectExpr("a", "m b"))
-        new = Table(small.selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
-        now.drop()
+        low = Table(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).selectExpr("a", "least(a, m) m", "n").coalesce(tasks), "low")
+        large = join_hot(both, low.df, ["a"], "n").where("b > a").selectExpr("b a", "m b").where("a <> b")
+        large = Table(large.selectExpr("greatest(a, b) a", "least(a, b) b").distinct().coalesce(tasks), "large")
+        least = Table(large.df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).coalesce(tasks), "least")
+        small = join_hot(large.df, least.df, ["a"], "n").selectExpr("b a", "m b").where("a <> b").union(least.df.selectExpr("a", "m b"))
+        new = Table(small.selectExpr("greatest(a, b) a", "least(a, b) b").distinct().coalesce(tasks), "edges")
+        for old in (now, low, large, least):
+            old.drop()
         now, last, seen = new, seen, mark(new.df)
         if last == seen:
             break
@@ -147,3 +205,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen[0]:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.df.selectExpr("a node", "b component").union(now.df.selectExpr("b", "b").distinct())
+
+
+def in_blocks(rows: DataFrame, key: str, held: int) -> DataFrame:
+    """rows(key long, node, ...) with keys of over `held` rows split: their rows are dealt into blocks of about `held` by hash,
+    and each pair of blocks becomes a key of its own, so that any two rows of a key meet in one of at most about 2 held rows."""
+    large = Table(rows.groupBy(key).count().where(F.col("count") > held).select(key, F.ceil(F.col("count") / held).cast("int").alias("__m")).coalesce(1), "large").df
+    each = rows.join(small_side(large), key, "left").withColumn("__m", F.coalesce("__m", F.lit(1)))
+    each = each.withColumn("__block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("__m")).cast("int")).withColumn("__other", F.explode(F.expr("sequence(0, __m - 1)")))
+    pair = F.xxhash64(key, F.least("__block", "__other"), F.greatest("__block", "__other"))
+    return each.withColumn(key, F.when(F.col("__m") == 1, F.col(key)).otherwise(pair)).select(rows.columns)

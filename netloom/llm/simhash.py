@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Forest, Table, components, reachable, small_side
+from netloom.llm.common import Forest, Scope, Table, components, in_blocks, join_hot, reachable, small_side
 
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the binary Golay code.
 GOLAY = 0b110001110101
@@ -183,10 +183,10 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2, limit: in
     """
     reachable(docs.sparkSession)
     prints = Table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(_prints(words), "doc_id long, fp long"), "prints").df
-    nodes = Table(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes").df
-    linked = components(link_prints(nodes, bits, limit))
-    of_print = Table(nodes.join(linked, "node", "left").selectExpr("fp", "coalesce(component, node) component_id"), "classes").df
-    return prints.join(of_print, "fp", "left").selectExpr("doc_id", "fp", "lower(lpad(hex(fp), 16, '0')) fingerprint", "if(doc_id is null, null, component_id) component_id")
+    nodes = Table(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes").df
+    linked = components(link_prints(nodes.where("node is not null").select("fp", "node"), bits, limit))
+    of_print = Table(nodes.join(linked, "node", "left").selectExpr("fp", "coalesce(component, node) component_id", "n"), "classes").df
+    return join_hot(prints, of_print, ["fp"], "n").selectExpr("doc_id", "fp", "lower(lpad(hex(fp), 16, '0')) fingerprint", "if(doc_id is null, null, component_id) component_id")
 
 
 #: Min-wise keys: BANDS of ROWS smallest permuted hashes each; texts of similarity 0.8 share a band with probability 0.997.
@@ -194,7 +194,7 @@ BANDS, ROWS, BINS = 8, 3, 256
 #: Pairs are examined exactly if their estimated likeness is over the limit less this, four standard errors of it.
 SLACK = 0.1
 #: A key of more rows is compared in blocks of about so many, each with each.
-HELD = 4096
+HELD = 1024
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -314,17 +314,6 @@ def _grouped(least: float, exact: float | None = None):
     return run
 
 
-def in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """rows(key long, node, ...) with keys of over HELD rows split: their rows are dealt into blocks of about HELD by hash,
-    and each pair of blocks becomes a key of its own, so that any two rows of a key meet in one of at most about 2 HELD rows."""
-    held = HELD
-    large = Table(rows.groupBy(key).count().where(F.col("count") > held).select(key, F.ceil(F.col("count") / held).cast("int").alias("__m")), "large").df
-    each = rows.join(small_side(large), key, "left").withColumn("__m", F.coalesce("__m", F.lit(1)))
-    each = each.withColumn("__block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("__m")).cast("int")).withColumn("__other", F.explode(F.expr("sequence(0, __m - 1)")))
-    pair = F.xxhash64(key, F.least("__block", "__other"), F.greatest("__block", "__other"))
-    return each.withColumn(key, F.when(F.col("__m") == 1, F.col(key)).otherwise(pair)).select(rows.columns)
-
-
 def _shingled(words: int):
     """Rows (band, node, same, text): (band, node, marks, shingles) of those whose text has the set of shingles `same`."""
 
@@ -351,19 +340,20 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 2, least: float = 0
     reachable(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profiles = Table(rows.mapInPandas(_profiles(words), "doc_id long, fp long, same long, marks binary, bands array<long>"), "profiles").df
-    nodes = Table(profiles.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("marks").alias("marks"), F.first("bands").alias("bands")), "nodes").df
-    banded = in_blocks(nodes.select(F.explode("bands").alias("band"), "node", "marks"), "band").repartition("band").sortWithinPartitions("band", "node")
-    found = Table(banded.mapInPandas(_grouped(least - SLACK), "a long, b long"), "banded").df  # written, so that no task needs two Python workers
-    prints = Table(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints").df
-    same = nodes.select("fp", F.col("node").alias("a")).join(prints.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
-    maybe = components(found.union(link_prints(prints, bits)).union(same))
-    members = Table(nodes.select("same", "node").join(maybe, "node").select("node", "same", F.col("component").alias("band")), "members").df
-    texts = rows.join(small_side(members), F.col("doc_id") == F.col("node")).select("band", "node", "same", "text")
-    sets = Table(texts.mapInPandas(_shingled(words), "band long, node long, marks binary, shingles binary"), "sets").df
-    grouped = in_blocks(sets, "band").repartition("band").sortWithinPartitions("band", "node")
-    linked = components(Table(grouped.mapInPandas(_grouped(least - SLACK, least), "a long, b long"), "exact").df)
-    classes = Table(nodes.select("same", "node").join(linked, "node", "left").selectExpr("same", "coalesce(component, node) component_id"), "classes").df
-    return profiles.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
+    nodes = Table(profiles.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("marks").alias("marks"), F.first("bands").alias("bands"), F.count("*").alias("n")), "nodes").df
+    with Scope() as scope:
+        banded = in_blocks(nodes.select(F.explode("bands").alias("band"), "node", "marks"), "band", HELD).repartition("band").sortWithinPartitions("band", "node")
+        found = Table(banded.mapInPandas(_grouped(least - SLACK), "a long, b long"), "banded").df  # written, so that no task needs two Python workers
+        prints = Table(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints").df
+        same = join_hot(nodes.select("fp", F.col("node").alias("a")), prints.withColumnRenamed("node", "b"), ["fp"], "n").where("a <> b").select("a", "b")
+        maybe = components(found.union(link_prints(prints.select("fp", "node"), bits)).union(same))
+        members = Table(nodes.select("same", "node").join(maybe, "node").select("node", "same", F.col("component").alias("band")), "members").df
+        texts = rows.join(small_side(members), F.col("doc_id") == F.col("node")).select("band", "node", "same", "text")
+        sets = Table(texts.mapInPandas(_shingled(words), "band long, node long, marks binary, shingles binary"), "sets").df
+        grouped = in_blocks(sets, "band", HELD).repartition("band").sortWithinPartitions("band", "node")
+        linked = components(Table(grouped.mapInPandas(_grouped(least - SLACK, least), "a long, b long"), "exact").df)
+        classes = scope.keep(Table(nodes.select("same", "node", "n").join(linked, "node", "left").selectExpr("same", "coalesce(component, node) component_id", "n"), "classes"))
+    return join_hot(profiles.select("doc_id", "same"), classes, ["same"], "n").select("doc_id", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, words: int = 5, bits: int = 2, least: float = 0.8) -> DataFrame:
@@ -371,12 +361,13 @@ def simhash_dedup(docs: DataFrame, words: int = 5, bits: int = 2, least: float =
 
     Of rows that repeat a doc_id one stays: the least, compared column by column.
     """
-    classes = Table(near_copies(docs, words, bits, least).selectExpr("doc_id", "doc_id = component_id kept"), "kept").df
-    gone = Table(classes.where("not kept").select("doc_id").distinct(), "gone").df
-    repeated = Table(classes.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated").df
+    with Scope() as scope:
+        classes = Table(near_copies(docs, words, bits, least).selectExpr("doc_id", "doc_id = component_id kept"), "kept").df
+        gone = scope.keep(Table(classes.where("not kept").select("doc_id").distinct(), "gone"))
+        repeated = scope.keep(Table(classes.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated"))
     kept = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
     if repeated.isEmpty():
         return kept
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = kept.join(small_side(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))
-    return kept.join(small_side(repeated), "doc_id", "left_anti").select(docs.columns).union(one.select(*["doc_id" if c == "doc_id" else F.col("__row")[c].alias(c) for c in docs.columns]))
+    row = F.struct(*[c for c in docs.columns if c != "doc_id"])
+    one = kept.join(small_side(repeated), "doc_id", "left_semi").select("doc_id", row.alias("row")).groupBy("doc_id").agg(F.min("row").alias("row"))
+    return kept.join(small_side(repeated), "doc_id", "left_anti").select(docs.columns).union(one.select(*["doc_id" if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns]))
