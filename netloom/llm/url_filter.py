@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Table, small_side
+from netloom.llm.common import Table, join_hot, small_side
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of context at most; strength of the lower order in the mixture of each order with it.
 ORDER, STRENGTH = 5, 2.0
+#: URLs whose characters a task spreads out.
+URLS_TASK = 20_000
 BEFORE, AFTER = "\x02", "\x03"
 
 
@@ -66,27 +68,31 @@ def model(grams: DataFrame, order: int = ORDER, strength: float = STRENGTH) -> D
 
     Each order is mixed with the one below: (count + strength * lower) / (context's count + strength). An unseen context
     so takes the longest seen one's value: the order varies with the data. The lowest is a uniform byte.
+    A column n is passed on.
     """
-    last = None
+    last, more = None, [F.sum("n").alias("n")] if "n" in grams.columns else []
     for j in range(order + 1):
-        own = grams.groupBy(F.right("gram", F.lit(j + 1)).alias("g")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        own = grams.groupBy(F.right("gram", F.lit(j + 1)).alias("g")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *more)
         own = Table(own, f"order{j}").df
         context = own.groupBy(F.substr(F.col("g"), F.lit(1), F.lit(j)).alias("c")).agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
         joined = own.withColumn("c", F.substr(F.col("g"), F.lit(1), F.lit(j))).join(small_side(Table(context, f"context{j}").df), "c")
         joined = joined.withColumn("pa", F.lit(1 / 256)).withColumn("pb", F.lit(1 / 256)) if last is None else joined.withColumn("l", F.right("g", F.lit(j))).join(small_side(last), "l")
         p = [((F.col(n) + strength * F.col(f"p{n}")) / (F.col(f"c{n}") + strength)).alias(f"p{n}") for n in "ab"]
-        last = Table(joined.select(F.col("g").alias("l"), *p), f"model{j}").df
-    return last.select(F.col("l").alias("gram"), (F.ln("pa") - F.ln("pb")).alias("ratio"))
+        last = Table(joined.select(F.col("g").alias("l"), *p, *["n"] * len(more)), f"model{j}").df.drop(*["n"] * (j < order))
+    return last.select(F.col("l").alias("gram"), (F.ln("pa") - F.ln("pb")).alias("ratio"), *["n"] * len(more))
 
 
-def with_grams(urls: DataFrame, order: int) -> DataFrame:
-    text = F.concat(F.lit(BEFORE * order), "host", "path", F.lit(AFTER))
-    return urls.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("host") + F.length("path") + 1), lambda i: F.substr(text, i, F.lit(order + 1)))))
+def with_grams(urls: DataFrame, order: int, *columns: str) -> DataFrame:
+    """(columns, gram) for each character of url and its end: narrow rows, of evenly dealt URLs."""
+    tasks = max(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), urls.count() // URLS_TASK)
+    chars = F.concat(F.array(*[F.lit(BEFORE)] * order), F.when(F.length("url") > 0, F.regexp_extract_all("url", F.lit("(?s)."), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)")), F.array(F.lit(AFTER)))
+    dealt = urls.select(*columns, "url").repartition(tasks).withColumn("chars", chars)
+    return dealt.select(*columns, F.explode(F.transform(F.sequence(F.lit(1), F.size("chars") - order), lambda i: F.array_join(F.slice("chars", i, F.lit(order + 1)), ""))).alias("gram"))
 
 
 def with_scores(urls: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
-    """(host, path, fold, ruled, score) of distinct URLs: the mean ratio of their characters, so that length doesn't count."""
-    return with_grams(urls, order).join(small_side(ratios), "gram", "left").groupBy("host", "path").agg(F.first("fold").alias("fold"), F.first("ruled").alias("ruled"), F.avg(F.coalesce("ratio", F.lit(0.0))).alias("score"))
+    """(u, score) of urls(u, url): the mean ratio of their characters, so that length doesn't count."""
+    return join_hot(with_grams(urls, order, "u"), ratios, ["gram"], "n", "left").groupBy("u").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("score"))
 
 
 def threshold(scores: DataFrame) -> float | None:
@@ -109,17 +115,17 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int =
 
     The longest fitting rule decides. URLs that a rule accepts or rejects train two character models (four fifths of
     the distinct ones, by hash; the rest sets the threshold), and others are allowed if their mean log-likelihood difference is
-    at least the threshold. Counts are over all distinct URLs. Without ruled URLs of both kinds the method allows.
-    A null url has an empty host and path and is judged like any other text; repeated rows are judged each; null ids are
+    at least the threshold. The models read whole URLs, and counts are over all distinct ones. Without ruled URLs of both
+    kinds the method allows. A null url has an empty host and path and is judged as the empty text; repeated rows are judged each; null ids are
     kept; other columns are ignored; an empty table gives no rows. Rules are a short list (each is an expression).
     """
-    rows = with_rule(with_parts(pages.select("page_id", "url")), rules).select("page_id", "host", "path", "rule", "ruled")
-    distinct = rows.groupBy("host", "path").agg(F.first("ruled").alias("ruled")).withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(5)))
-    urls = Table(distinct, "urls").df
+    rows = with_rule(with_parts(pages.select("page_id", "url")), rules).select("page_id", F.coalesce("url", F.lit("")).alias("url"), "host", "path", "rule", "ruled")
+    distinct = rows.groupBy("url").agg(F.first("ruled").alias("ruled"), F.count("*").alias("n")).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(5)))
+    urls = Table(distinct.withColumn("u", F.monotonically_increasing_id()), "urls").df
     seen = F.when((F.col("fold") != 0) & (F.col("ruled") == F.lit("allow")), 1).otherwise(0), F.when((F.col("fold") != 0) & (F.col("ruled") == F.lit("block")), 1).otherwise(0)
-    grams = Table(with_grams(urls, order).groupBy("gram").agg(F.sum(seen[0]).alias("a"), F.sum(seen[1]).alias("b")), "grams").df
-    scores = Table(with_scores(urls, model(grams, order), order), "scores").df
+    grams = Table(with_grams(urls, order, "fold", "ruled").groupBy("gram").agg(F.sum(seen[0]).alias("a"), F.sum(seen[1]).alias("b"), F.count("*").alias("n")), "grams").df
+    found = Table(with_scores(urls, Table(model(grams, order), "ratios").df, order), "scores").df
+    scores = Table(urls.join(small_side(found), "u").select("url", "ruled", "fold", "score", "n"), "judged").df
     least = threshold(scores)
     verdict = F.coalesce("ruled", F.when(F.col("score") >= least, "allow").otherwise("block") if least is not None else F.lit("allow"))
-    narrow = small_side(scores.select("host", "path", "score"), 200_000)
-    return rows.join(narrow, ["host", "path"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return join_hot(rows, scores.select("url", "score", "n"), ["url"], "n", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
