@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -38,13 +39,41 @@ def tokenizer(path: str):
     return found
 
 
-def stable(text: str, at: int) -> bool:
-    """Whether any encoding of a text that holds this place has a boundary there.
+def spec(tok) -> dict:
+    """What a vocabulary file says of its way, without its words."""
+    found = json.loads(tok.to_str())
+    model = found["model"]
+    return {"normalizer": found["normalizer"], "pre": found["pre_tokenizer"], "added": found["added_tokens"], "model": {k: v for k, v in model.items() if k not in ("vocab", "merges")}}
 
-    Byte-level pre-tokens never reach over a place between a character that isn't white space and a single space that
-    a letter follows: the letter's piece takes exactly that one space. Special strings hold no space.
-    """
-    return 0 < at < len(text) - 1 and text[at] == " " and text[at + 1].isalpha() and not text[at - 1].isspace()
+
+def plain_merges(found: dict, end: str | None) -> bool:
+    """Whether words are merged by ranks alone, and added strings are taken as they stand, none with white space."""
+    model = found["model"]
+    same = model.get("type") == "BPE" and model.get("end_of_word_suffix") == end and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    return same and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in found["added"])
+
+
+def byte_level(tok) -> bool:
+    """Whether the rules of this module hold for a vocabulary: byte-level merges within the pre-tokens of its usual pattern."""
+    found = spec(tok)
+    pre = found["pre"] or {}
+    return found["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", False) and plain_merges(found, None)
+
+
+#: Characters that are surely letters, digits, or signs (the apostrophe is left out: it may begin a pre-token with letters).
+LETTERS = "A-Za-zÀ-ÖØ-öø-\u02af\u0400-\u0481\u048a-\u052f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+DIGITS, SIGNS = "0-9", r"!-&(-/:-@\[-`{-~、。，！？"
+#: Places where byte-level pre-tokens part, whatever stands around: before white space that follows something else, and where
+#: the kind of character changes. What follows such a place is read as if it stood alone.
+STABLE = re.compile(f"(?<=\\S)[ \\n\\t\\r]|(?<=[{LETTERS}])[{DIGITS}{SIGNS}]|(?<=[{DIGITS}])[{LETTERS}{SIGNS}]|(?<=[{SIGNS}])[{LETTERS}{DIGITS}]")
+
+
+def stable(text: str, low: int, high: int, special: tuple[str, ...]) -> Iterator[int]:
+    """The places in text[low:high] where any encoding of a text that holds them has a boundary: none inside a special string."""
+    for m in STABLE.finditer(text, max(1, low), high):
+        at = m.start()
+        if not any(text.find(x, max(0, at - len(x) + 1), at + len(x) - 1) >= 0 for x in special):
+            yield at
 
 
 def starts(encoding) -> dict[int, int]:
@@ -55,13 +84,11 @@ def starts(encoding) -> dict[int, int]:
     return out
 
 
-def splice(text: str, left, left_at: int, right, right_at: int, low: int, high: int) -> tuple[int, int, int] | None:
+def splice(text: str, left, left_at: int, right, right_at: int, low: int, high: int, special: tuple[str, ...]) -> tuple[int, int, int] | None:
     """The place in text[low:high] where both encodings have a proven boundary and agree on the tokens up to the overlap's end: place, token index in left, in right."""
     a, b = starts(left), starts(right)
     middle = (low + high) // 2
-    for at in sorted(range(low + 1, high), key=lambda x: abs(x - middle)):
-        if not stable(text, at):
-            continue
+    for at in sorted(stable(text, low + 1, high, special), key=lambda x: abs(x - middle)):
         i, j = a.get(at - left_at), b.get(at - right_at)
         if i is None or j is None:
             continue
@@ -71,32 +98,34 @@ def splice(text: str, left, left_at: int, right, right_at: int, low: int, high:
     return None
 
 
-def chunked_count(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a huge text: each chunk counts from its splice with the one before to its splice with the next."""
+def chunked_count(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, special: tuple[str, ...] = ()) -> int:
+    """Tokens of a huge text: each chunk counts from its splice with the one before to its splice with the next.
+
+    An overlap doubles until it holds a proven boundary, and again where the encodings can't be aligned on one; a chunk without any
+    doubles, unencoded. So a text is read a few times over at most, whatever it holds.
+    """
     total, begin, first, n = 0, 0, 0, len(text)
-    current = tok.encode(text[:chunk], add_special_tokens=False)
-    end = min(n, chunk)
+    end, current = min(n, chunk), None
     while end < n:
-        width, found = min(overlap, end - begin), None
+        width, found = overlap, None
         while found is None:
             at = max(begin, end - width)
-            if at == begin:  # the overlap is the whole chunk: encode it and the next as one
-                end = min(n, end + chunk)
-                current = tok.encode(text[begin:end], add_special_tokens=False)
-                if end == n:
-                    break
-                width = overlap
-                continue
-            following = tok.encode(text[at : end + chunk], add_special_tokens=False)
-            found = splice(text, current, begin, following, at, at, end)
+            if next(stable(text, at + 1, end, special), None) is not None:
+                current = current or tok.encode(text[begin:end], add_special_tokens=False)
+                following = tok.encode(text[at : end + chunk], add_special_tokens=False)
+                found = splice(text, current, begin, following, at, at, end, special)
+            if found is None and at == begin:
+                end, current = min(n, 2 * end - begin), None
+                break
             width *= 2
         if found is None:
-            break
+            continue
         _, i, j = found
         if i < first:  # the splice would lie before the last one
             raise AssertionError("splices out of order")
         total += i - first
         begin, first, current, end = at, j, following, min(n, end + chunk)
+    current = current or tok.encode(text[begin:], add_special_tokens=False)
     return total + len(current.ids) - first
 
 
@@ -133,9 +162,10 @@ class Pieces(dict):
 
 
 class Counter:
-    """Exact counts of texts, piece by piece."""
+    """Exact counts of texts, piece by piece; `known` is False for a vocabulary that other rules than byte_level() govern."""
 
     def __init__(self, tok):
+        self.known, self.special = byte_level(tok), tuple(t["content"] for t in spec(tok)["added"])
         self.first, self.rest = Pieces(tok, ""), Pieces(tok, " ")
         self.line = len(tok.encode("\n", add_special_tokens=False).ids)
 
@@ -160,16 +190,20 @@ def counter(tok) -> Counter:
 
 
 def count_tokens(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Tokens of each text: huge ones by chunks, others by their pieces, which a worker remembers."""
+    """Tokens of each text: huge ones by chunks, others by their pieces, which a worker remembers. Texts of a vocabulary with other
+    pre-tokens than byte-level ones are encoded whole by the library."""
     pieces = counter(tok)
-    return [chunked_count(tok, text, chunk, overlap) if len(text) > chunk else pieces.count(text) for text in texts]
+    if not pieces.known:
+        return [len(tok.encode(text, add_special_tokens=False).ids) for text in texts]
+    return [chunked_count(tok, text, chunk, overlap, pieces.special) if len(text) > chunk else pieces.count(text) for text in texts]
 
 
 def token_counts(docs: DataFrame, name: str = LIBRARY_PATH, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row of docs(doc_id, text): one pass, no shuffle.
 
     A null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; a null doc_id is kept;
-    other columns are ignored; an empty table gives no rows. `name`: a vocabulary of a byte-level tokenizer.
+    other columns are ignored; an empty table gives no rows. `name`: any vocabulary of the library; those that aren't byte-level
+    have their texts encoded whole.
     """
     reachable(docs.sparkSession)
     path = vocabulary(name)
