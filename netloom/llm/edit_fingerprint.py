@@ -9,6 +9,7 @@ octave of steps, so that it grows with the logarithm of the text and no part of
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import Forest, Table, components, reachable
+from netloom.llm.common import Forest, Table, components, in_blocks, join_hot, reachable
 
 PERIOD, BITS = 256, 64
 LOWEST = -(1 << 63)
@@ -117,29 +118,32 @@ def edited(chars: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """Rows (part, role, key, doc_id, text) such that each document and the next by doc_id are in one part, in one shuffle.
+    """Rows (part, role, key, h, doc_id, text) such that each document and the next by (key, h) are in one part, in one shuffle.
 
-    Parts are ranges of doc_id between ids drawn by hash (a bounded list: 16 for each of three parts a shuffle
-    partition). The first rows of a part also go to the part before it, with role 1; those of the first part to the last.
+    Parts are ranges of (key, h) between rows drawn by hash (a bounded list: 16 for each of three parts a shuffle
+    partition), so that rows of one doc_id are cut by the hash of their texts. The first rows of a part also go to the part
+    before it, with role 1; those of the first part to the last.
     """
     spark = docs.sparkSession
-    keys = docs.select("key")
+    keys = docs.select("key", "h")
     parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = keys.count()
     every = max(1, n // (16 * parts))
-    drawn = sorted({r[0] for r in keys.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(every)) == 0).distinct().limit(64 * parts).collect()})
-    lowest = keys.agg(F.min("key")).first()[0]
-    cuts = np.array([x for x in drawn[:: max(1, len(drawn) // parts)] if x != lowest], dtype=np.int64)
+    drawn = sorted({(r[0], r[1]) for r in keys.where(F.pmod(F.xxhash64("key", "h", F.lit(5)), F.lit(every)) == 0).distinct().limit(64 * parts).collect()})
+    lowest = keys.agg(F.min(F.struct("key", "h")).alias("low")).first().low
+    lowest = None if lowest is None else tuple(lowest)
+    cuts = [x for x in drawn[:: max(1, len(drawn) // parts)] if x != lowest]
 
     @F.pandas_udf("array<int>")
-    def where(key: pd.Series) -> pd.Series:
-        keys = key.to_numpy(np.int64)
-        part = np.searchsorted(cuts, keys, side="right")
-        first = (part > 0) & (cuts[np.maximum(part - 1, 0)] == keys) if len(cuts) else np.zeros(len(keys), dtype=bool)
-        return pd.Series([[p, p - 1] if f else [p, len(cuts)] if k == lowest else [p] for p, f, k in zip(part.tolist(), first.tolist(), keys.tolist(), strict=True)])
+    def where(key: pd.Series, h: pd.Series) -> pd.Series:
+        out = []
+        for pair in zip(key.tolist(), h.tolist(), strict=True):
+            p = bisect_right(cuts, pair)
+            out.append([p, p - 1] if p and cuts[p - 1] == pair else [p, len(cuts)] if pair == lowest else [p])
+        return pd.Series(out)
 
-    placed = docs.select("key", "doc_id", "text", F.posexplode(where("key")).alias("role", "part"))
-    return placed.repartition("part").sortWithinPartitions("part", "role", "key", "text")
+    placed = docs.select("key", "h", "doc_id", "text", F.posexplode(where("key", "h")).alias("role", "part"))
+    return placed.repartition("part").sortWithinPartitions("part", "role", "key", "h", "text")
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,29 +172,64 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row of docs(doc_id, text).
 
     The next document is that of the next doc_id, after the last the first; of rows with one doc_id, the next is the
-    next by text (bytes), and the first follows the doc_id before it. A null id comes first, a null text is empty. One row:
+    next by the hash of its text, and the first follows the doc_id before it. A null id comes first, a null text is empty. One row:
     it is its own next. No rows: none. Other columns are ignored. Texts move once.
     """
     reachable(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     return neighbours(rows).mapInPandas(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def bands(printed: str, bits: int = 16) -> list[str]:
-    """Banding keys: bit samples of the top two octaves, with their place."""
+#: Bands of a fingerprint: BAND_BITS sampled bits each, drawn by the weight of their octaves. Bits agree with probability 0.9 where the likeness
+#: is 0.8, so such a pair shares one of the bands with probability 1 - (1 - 0.9^18)^36 = 0.998 if the bits were independent.
+BANDS, BAND_BITS = 36, 18
+#: Rows of a band that are compared at once; larger bands in blocks, each with each.
+HELD = 1024
+
+
+@lru_cache(64)
+def drawn_bits(octaves: int) -> np.ndarray:
+    """The bits of each band of a fingerprint of so many octaves: of its longest with which a text may still share most steps (the last but one)
+    and of those below, each by the steps that its octave stands for."""
+    rng = np.random.default_rng(octaves)
+    top = max(octaves - 1, 1)
+    weight = np.repeat([1.0, *(float(1 << (k - 1)) for k in range(1, top))], BITS)
+    return np.stack([rng.choice(top * BITS, BAND_BITS, replace=False, p=weight / weight.sum()) for _ in range(BANDS)])
+
+
+def bands(printed: str) -> list[int]:
+    """Banding keys: sampled bits of the octaves below the last, and, since a like text may have one octave less or more, of the octaves
+    that remain without the last as well."""
     octaves = (len(printed) - 8) // 16
-    out = []
-    for k in range(max(0, octaves - 2), octaves):
-        part = printed[8 + 16 * k : 24 + 16 * k]
-        out += [f"{k}:{i}:{part[i : i + bits // 4]}" for i in range(0, 16, bits // 4)]
+    bits, out = np.unpackbits(np.frombuffer(bytes.fromhex(printed[8:]), dtype=np.uint8)), []
+    for n in {octaves, max(octaves - 1, 1)}:
+        chosen = bits[drawn_bits(n)] @ (1 << np.arange(BAND_BITS))
+        out += [int(x) | k << 32 | n << 48 for k, x in enumerate(chosen)]
     return out
 
 
+class Prints:
+    """Fingerprints as arrays, to compare one with many by likeness()."""
+
+    def __init__(self, printed: list[str]):
+        self.octaves = max((len(x) - 8) // 16 for x in printed)
+        self.total = np.array([int(x[:8], 16) for x in printed])
+        self.bits = np.stack([np.unpackbits(np.frombuffer(bytes.fromhex(x[8:].ljust(16 * self.octaves, "0")), dtype=np.uint8)) for x in printed])
+        self.at = np.concatenate([sampled(k) for k in range(self.octaves)])
+        self.weight = np.repeat([1.0, *(float(1 << (k - 1)) for k in range(1, self.octaves))], BITS)
+
+    def near(self, k: int, others: np.ndarray, least: float) -> np.ndarray:
+        long, short = np.maximum(self.total[k], self.total[others])[:, None], np.minimum(self.total[k], self.total[others])[:, None]
+        weight = self.weight * (self.at < long)
+        agree = (weight * np.where(self.at < short, 2.0 * (self.bits[others] == self.bits[k]) - 1, 0.0)).sum(axis=1) / weight.sum(axis=1)
+        return agree >= least - 1e-12
+
+
 def edit_near_duplicates(spark: SparkSession, docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(node, component) of documents whose fingerprints meet in a band and are alike by at least `least`.
+    """(node, component) of documents that share a band and whose fingerprints are alike by at least `least`, or that are equal.
 
-    Equal texts are one node. In a band each node is compared with the nodes before it, up to 64 of them (a chain over
-    sorted fingerprints), so that large bands stay linear.
+    Equal fingerprints are one node. Any two nodes of a band are compared, unless they are joined already; a band over HELD rows
+    is compared in blocks, each with each. Null doc_ids are left out, a null text is empty, rows without a link aren't returned.
     """
 
     def prints(batches):
@@ -202,23 +241,36 @@ def edit_near_duplicates(spark: SparkSession, docs: DataFrame, least: float = 0.
             rows = [(b, n, f) for n, f in zip(pdf["node"].tolist(), pdf["fp"].tolist(), strict=True) for b in bands(f)]
             yield pd.DataFrame(rows, columns=["band", "node", "fp"])
 
+    def links(node: list[int], fp: list[str], forest: Forest) -> None:
+        prints = Prints(fp)
+        for k in range(len(node) - 1):
+            rest = np.array([r for r in range(k + 1, len(node)) if forest.root(node[r]) != forest.root(node[k])], dtype=np.intp)
+            for at in range(0, len(rest), 256):
+                some = rest[at : at + 256]
+                for r in some[prints.near(k, some, least)].tolist():
+                    forest.join(node[k], node[r])
+
     def compared(batches):
-        last: list[tuple] = []
+        band, node, fp = None, [], []
+        forest = Forest()
         for pdf in batches:
-            forest = Forest()
-            for band, node, fp in pdf[["band", "node", "fp"]].itertuples(index=False):
-                last = [x for x in last[-64:] if x[0] == band]
-                for _, other, there in last:
-                    if forest.root(node) != forest.root(other) and likeness(fp, there) >= least:
-                        forest.join(node, other)
-                last.append((band, node, fp))
-            a, b = forest.stars()
-            yield pd.DataFrame({"a": np.array(a, dtype="int64"), "b": np.array(b, dtype="int64")})
+            for b, n, f in pdf[["band", "node", "fp"]].itertuples(index=False):
+                if b != band:
+                    if len(node) > 1:
+                        links(node, fp, forest)
+                    band, node, fp = b, [], []
+                node.append(n)
+                fp.append(f)
+        if len(node) > 1:
+            links(node, fp, forest)
+        a, b = forest.stars()
+        yield pd.DataFrame({"a": np.array(a, dtype="int64"), "b": np.array(b, dtype="int64")})
 
     reachable(spark)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = Table(rows.mapInPandas(prints, "doc_id long, fp string"), "edit").df
-    nodes = Table(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes").df
-    links = nodes.mapInPandas(keyed, "band string, node long, fp string").repartition("band").sortWithinPartitions("band", "fp").mapInPandas(compared, "a long, b long")
-    same = found.join(nodes, "fp").selectExpr("doc_id a", "node b").where("a <> b")
-    return components(links.union(same))
+    nodes = Table(found.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes").df
+    banded = Table(nodes.mapInPandas(keyed, "band long, node long, fp string"), "bands").df
+    linked = in_blocks(banded, "band", HELD).repartition("band").sortWithinPartitions("band", "node").mapInPandas(compared, "a long, b long")
+    same = join_hot(found, nodes, ["fp"], "n").selectExpr("doc_id a", "node b").where("a <> b")
+    return components(linked.union(same))
