@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import reachable
-from netloom.llm.token_count import tokenizer, vocabulary
+from netloom.llm.token_count import plain_merges, spec, tokenizer, vocabulary
 
 CAPACITY, END = 2048, 1
 #: Windows packed together; words remembered by a worker.
 GROUP_WINDOWS, MEMORY_WORDS = 32, 300_000
+#: How full a group's windows are to be, so that near-equal ones hold within the capacity.
+FILL = 0.99
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -90,6 +92,19 @@ def written(part: str) -> str:
     return part if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
 
 
+#: The pattern and the steps of the vocabularies that drop white space and write in lower case.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def word_rules(tok) -> bool:
+    """Whether a vocabulary's pre-tokens never hold white space, and follow WORD_PATTERN in lower case."""
+    found = spec(tok)
+    steps = [x["type"] for x in (found["normalizer"] or {}).get("normalizers", [])]
+    pre = (found["pre"] or {}).get("pretokenizers", [])
+    split = len(pre) == 2 and pre[0].get("pattern") == {"Regex": WORD_PATTERN} and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and pre[1]["type"] == "ByteLevel" and not pre[1]["use_regex"] and not pre[1]["add_prefix_space"]
+    return bool(steps == ["NFC", "Replace", "Lowercase"] and split and plain_merges(found, "</w>"))
+
+
 PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
 
 
@@ -99,14 +114,15 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Words(dict):
-    """Ids by white-space word, found on first use and remembered; exact for vocabularies whose pre-tokens never hold white space.
+    """Ids by white-space word, found on first use and remembered, for vocabularies of the rules that word_rules() tests; those of
+    others have their texts encoded whole.
 
     Beyond MEMORY_WORDS all are forgotten: the common ones are found again at once.
     """
 
     def __init__(self, tok):
         super().__init__()
-        self.tok, self.merge = tok, tok.model.tokenize
+        self.tok, self.merge, self.known = tok, tok.model.tokenize, word_rules(tok)
 
     def __missing__(self, word: str) -> bytes:
         if SIMPLE.fullmatch(word) and "<|" not in word:
@@ -132,93 +148,56 @@ class Words(dict):
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self) > MEMORY_WORDS:
             self.clear()
+        if not self.known:
+            return [packed(self.encode(t)) for t in texts]
         return [packed(self.encode(t)) if ODD_SPACES.search(t) else b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
-def levelled(windows: list[list[tuple]], capacity: int) -> list[list[tuple]] | None:
-    """Windows of items (row, start, ids) with what exceeds the capacity cut off and put where there is room; None if there is too little."""
-    sums = [sum(len(x[2]) for x in w) for w in windows]
-    if sum(sums) > capacity * len(windows):
-        return None
-    rest = []
-    for w, n in zip(windows, sums, strict=True):
-        over = n - capacity
-        while over > 0:
-            at = max(range(len(w)), key=lambda k: len(w[k][2]))  # noqa: B023
-            row, start, ids = w[at]
-            cut = min(over, len(ids))
-            rest.append((row, start + len(ids) - cut, ids[len(ids) - cut :]))
-            w[at] = (row, start, ids[: len(ids) - cut])
-            if cut == len(ids):
-                w.pop(at)
-            over -= cut
-    for w, n in zip(windows, sums, strict=True):
-        room = capacity - n
-        while rest and room > 0:
-            row, start, ids = rest.pop()
-            w.append((row, start, ids[:room]))
-            if len(ids) > room:
-                rest.append((row, start + room, ids[room:]))
-            room -= min(room, len(ids))
-    return windows
-
-
-def pieces(items: list[tuple], capacity: int, group: int, final: bool, base: int) -> tuple[list[tuple], list[tuple], int]:
-    """Pack items (row, start, ids) of one stream: the windows of whole groups, the items left over, the next window's number.
-
-    Documents come in pieces of up to a quarter window, small enough to balance. A group's total is a whole number of windows
-    (its last item is cut there); the final group is cut once more, so that only its last window is partly filled. Where the
-    near-equal windows of the differencing exceed the capacity by up to an eighth, the excess is cut off and fills the others
-    up; beyond that the window count rises.
+def pieces(items: list[tuple], capacity: int, group: int, final: bool, base: int, fill: float = FILL) -> tuple[list[tuple], list[tuple], int]:
+    """Pack items (row, start, ids as bytes) of one stream: the pieces (.., window, offset) of whole groups, the items left over, the next window's number.
+
+    A group's total is `fill` of its windows (its last item is cut there), so that near-equal windows seldom exceed the capacity;
+    where one does, the window count rises. What is left at the end of the stream is a group of its own.
     """
     out: list[tuple] = []
-    while items:
-        total = sum(len(x[2]) for x in items)
-        if total >= group * capacity:
-            goal = group * capacity
-        elif not final:
-            break
-        else:
-            goal = total // capacity * capacity or total
-        now, k, room = [], 0, goal
+    goal = max(1, int(group * capacity * fill))
+    total = sum(len(x[2]) for x in items) // 4
+    k = 0
+    while total >= goal or final and total:
+        now, room = [], min(goal, total)
+        total -= room
         while room:
             row, start, ids = items[k]
-            now.append((row, start, ids[:room]))
-            if len(ids) > room:
-                items[k] = (row, start + room, ids[room:])
+            n = len(ids) // 4
+            now.append((row, start, ids[: 4 * room]))
+            if n > room:
+                items[k] = (row, start + room, ids[4 * room :])
                 break
-            k, room = k + 1, room - len(ids)
-        items = items[k:]
-        sizes = [len(x[2]) for x in now]
-        found = [[now[x] for x in w] for w in differencing(sizes, -(-goal // capacity)) if w]
-        if max(sum(len(x[2]) for x in w) for w in found) <= capacity + capacity // 8:
-            found = levelled(found, capacity)
-        else:
-            found = [[now[x] for x in w] for w in windows_of(sizes, capacity)]
-        for window in found:
+            k, room = k + 1, room - n
+        for window in windows_of([len(x[2]) // 4 for x in now], capacity):
             offset = 0
-            for row, start, ids in window:
+            for at in window:
+                row, start, ids = now[at]
                 out.append((row, start, ids, base, offset))
-                offset += len(ids)
+                offset += len(ids) // 4
             base += 1
-    return out, items, base
+    return out, items[k:], base
 
 
-def packer(path: str, capacity: int, group: int, with_ids: bool):
-    piece = max(1, capacity // 4)
+def packer(path: str, capacity: int, group: int, piece: int, with_ids: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         words = Words(tokenizer(path))
-        base, waiting = TaskContext.get().partitionId() << 36, []
+        base, waiting, last = TaskContext.get().partitionId() << 36, [], packed([END])
 
         def frame(found):
-            cols = {"doc_id": pd.array([r[0] for r, *_ in found], dtype="Int64"), "start": [s for _, s, *_ in found], "length": [len(i) for _, _, i, *_ in found]}
-            cols["ids_crc32"] = [zlib.crc32(i.tobytes()) for _, _, i, *_ in found]
+            cols = {"doc_id": pd.array([r[0] for r, *_ in found], dtype="Int64"), "start": [s for _, s, *_ in found], "length": [len(i) >> 2 for _, _, i, *_ in found]}
+            cols["ids_crc32"] = [zlib.crc32(i) for _, _, i, *_ in found]
             cols |= {"doc_tokens": [r[1] for r, *_ in found], "sequence_id": [s for *_, s, _ in found], "offset": [o for *_, o in found]}
             if with_ids:
-                cols["ids"] = [i.tolist() for _, _, i, *_ in found]
+                cols["ids"] = [np.frombuffer(i, dtype="<u4").tolist() for _, _, i, *_ in found]
             return pd.DataFrame(cols)
 
         for pdf in batches:
@@ -230,9 +209,9 @@ def packer(path: str, capacity: int, group: int, with_ids: bool):
                     size += len(texts[to])
                     to += 1
                 for doc, found in zip(ids[at:to], words.ids(texts[at:to]), strict=True):
-                    array = np.frombuffer(found + packed([END]), dtype="<u4")
-                    row = (None if pd.isna(doc) else int(doc), len(array))
-                    waiting += [(row, s, array[s : s + piece]) for s in range(0, len(array), piece)]
+                    found += last
+                    row = (None if doc is None or doc != doc else int(doc), len(found) >> 2)
+                    waiting += [(row, s, found[4 * s : 4 * (s + piece)]) for s in range(0, row[1], piece)]
                 done, waiting, base = pieces(waiting, capacity, group, False, base)
                 if done:
                     yield frame(done)
@@ -244,15 +223,15 @@ def packer(path: str, capacity: int, group: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int = CAPACITY, group: int = GROUP_WINDOWS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int = CAPACITY, group: int = GROUP_WINDOWS, piece: int = CAPACITY // 10, with_ids: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of docs(doc_id, text).
 
     A document's ids are its tokens and a final 1; a null or empty text is the 1 alone. Each id lies in one piece, each
     window is a sequence_id, gapless from 0. Repeated rows are packed each; a null doc_id stays null; other columns are
-    ignored; no rows give no pieces. No shuffle: a task packs groups of `group` windows, and only its last is partly
-    filled. Sequence ids are the task's number and a count, so a task that runs again gives the same.
+    ignored; no rows give no pieces. No shuffle: a task packs groups of `group` windows. Documents of over `piece` tokens are cut
+    into such pieces (capacity: only those that no window holds are cut, at about 3 % more padding). Sequence ids are the task's number and a count, so a task that runs again gives the same.
     """
     reachable(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return rows.mapInPandas(packer(vocabulary(name), capacity, group, with_ids), schema)
+    return rows.mapInPandas(packer(vocabulary(name), capacity, group, min(piece, capacity), with_ids), schema)
