@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,11 @@ from netloom.llm.common import fold, hashed_order, reachable
 #: The network is trained on up to three windows of at most so many labelled documents, drawn by hash.
 SAMPLE = 4_000
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 16, 8
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def lettered(text: str) -> bool:
+    """Whether a text has a letter (a fraction or a circled digit is none)."""
+    return any(map(str.isalpha, text))
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -140,15 +143,19 @@ def train_network(docs: DataFrame) -> Network | None:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
-            for lang, text in zip(pdf["lang"].tolist(), pdf["text"].tolist(), strict=True):
-                if LETTER.search(text):
+            for h, lang, text in zip(pdf["h"].tolist(), pdf["lang"].tolist(), pdf["text"].tolist(), strict=True):
+                if lettered(text):
                     rows = windows(text.encode("utf-8", "surrogatepass"))
-                    found += [(lang, rows[k].tobytes()) for k in sorted({0, len(rows) // 2, max(0, len(rows) - 2)})]
-            yield pd.DataFrame(found, columns=["lang", "data"])
+                    found += [(h, lang, rows[k].tobytes()) for k in sorted({0, len(rows) // 2, max(0, len(rows) - 2)})]
+            yield pd.DataFrame(found, columns=["h", "lang", "data"])
 
     usable = docs.where("lang is not null and text is not null and doc_id is not null").where(fold() != 0)
-    chosen = usable.select("doc_id", hashed_order().alias("h")).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id").distinct()
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(cut, "lang string, data binary").toPandas()
+    last = usable.select(hashed_order().alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
+    first = usable.withColumn("h", hashed_order()).where(F.col("h") <= last).select("h", "lang", "text")
+    # repeated ids tie at the last hash: the windows are cut to the bound once more, and repeated rows bring theirs once
+    rows = first.mapInPandas(cut, "h long, lang string, data binary").distinct().orderBy("h", "lang", "data").limit(3 * SAMPLE).toPandas()
     if rows.empty:
         return None
     rows = rows.sort_values(["data", "lang"]).reset_index(drop=True)
@@ -172,7 +179,7 @@ def language_ids(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             texts = pdf["text"].tolist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            some = [k for k, t in enumerate(texts) if net and LETTER.search(t)]
+            some = [k for k, t in enumerate(texts) if net and lettered(t)]
             if some:
                 for k, lang, score in zip(some, *net.predict([texts[k].encode("utf-8", "surrogatepass") for k in some], tables), strict=True):
                     langs[k], scores[k] = lang, score
