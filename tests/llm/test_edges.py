@@ -300,7 +300,7 @@ def test_drifting_chains_in_large_bands(spark, monkeypatch):
         forest.join(a, b)
     assert {forest.root(k) for k in range(100)} == {0}
     keys = spark.createDataFrame([(1, k) for k in range(40)] + [(2, k) for k in range(5)], "band long, node long")
-    met = simhash.in_blocks(keys, "band").toPandas().groupby("band").node.apply(set).tolist()
+    met = common.in_blocks(keys, "band", 8).toPandas().groupby("band").node.apply(set).tolist()
     assert all(any({a, b} <= m for m in met) for a in range(40) for b in range(40)) and set(range(5)) in met and max(map(len, met)) < 40
 
 
@@ -363,21 +363,346 @@ def test_clashing_columns_pass_through(spark, docs):
     assert clean.columns == docs.columns and {(r.h, r.k, r.base, r.more) for r in clean.collect()} == {(3, 4, "b", "m")}
 
 
-def test_levelled_windows_hold_every_id_once():
+def test_windows_hold_every_id_once():
     import numpy as np
 
     rng = np.random.default_rng(8)
     for _ in range(30):
-        items = [(k, 0, np.arange(n)) for k, n in enumerate(rng.integers(1, 17, 300).tolist())]
-        total, out, base = sum(len(x[2]) for x in items), [], 0
-        done, items, base = packing.pieces(items, 64, 8, False, base)
-        more, items, base = packing.pieces(items, 64, 8, True, base)
+        items = [(k, 0, np.arange(n, dtype="<u4").tobytes()) for k, n in enumerate(rng.integers(1, 17, 300).tolist())]
+        total, base = sum(len(x[2]) // 4 for x in items), 0
+        done, items, base = packing.pieces(items, 64, 8, False, base, 0.9)
+        more, items, base = packing.pieces(items, 64, 8, True, base, 0.9)
         out = done + more
-        assert not items and sum(len(i) for _, _, i, *_ in out) == total
-        ids = sorted((r, s + j) for r, s, i, *_ in out for j in range(len(i)))
-        assert len(set(ids)) == total and all((i == np.arange(s, s + len(i))).all() for _, s, i, *_ in out)
+        assert not items and sum(len(i) // 4 for _, _, i, *_ in out) == total
+        ids = sorted((r, s + j) for r, s, i, *_ in out for j in range(len(i) // 4))
+        assert len(set(ids)) == total and all((np.frombuffer(i, dtype="<u4") == np.arange(s, s + len(i) // 4)).all() for _, s, i, *_ in out)
         sums = {}
         for _, _, i, w, o in out:
             assert o == sums.get(w, 0)
-            sums[w] = o + len(i)
-        assert sorted(sums) == list(range(base)) and max(sums.values()) <= 64 and sum(v < 64 for v in sums.values()) <= 1
+            sums[w] = o + len(i) // 4
+        assert sorted(sums) == list(range(base)) and max(sums.values()) <= 64 and total / (64 * base) > 0.85
+
+
+def test_window_count_rises_where_capacity_is_exceeded():
+    found = packing.windows_of([6, 6, 6, 2], 10)  # 20 in all, but two windows of 10 can't hold them
+    assert len(found) == 3 and sorted(k for w in found for k in w) == [0, 1, 2, 3]
+
+
+def test_pack_with_whole_documents(spark):
+    d = spark.createDataFrame([(k, "word " * (37 * k % 90)) for k in range(200)], "doc_id long, text string")
+    got = packing.pack(d, capacity=128, piece=128).toPandas()
+    assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all() and got.groupby("sequence_id").length.sum().max() <= 128
+    assert (got.length == got.doc_tokens).mean() > 0.9  # but for the last of a group
+
+
+def made_votes(rng, n):
+    """Votes of known rates; voters 0 and 4 always agree within a label, others are independent."""
+    import numpy as np
+
+    y = rng.random(n) < 0.3
+    rate = np.where(y[:, None], np.linspace(0.9, 0.5, len(toxicity.VOTERS)), np.linspace(0.02, 0.2, len(toxicity.VOTERS)))
+    v = rng.random((n, len(toxicity.VOTERS))) < rate
+    v[:, 4] = v[:, 0]
+    return y, rate, (v @ (1 << np.arange(len(toxicity.VOTERS)))) | (1 << len(toxicity.VOTERS))
+
+
+def test_label_model_recovers_accuracies_and_correlations():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y, _, patterns = made_votes(rng, 40_000)
+    gold = np.where(rng.random(len(y)) < 0.1, y.astype(int), -1)
+    key, counts = np.unique(np.stack([patterns, gold], 1), axis=0, return_counts=True)
+    model = toxicity.LabelModel().fit(key[:, 0], key[:, 1], counts.astype(float))
+    want = np.stack([np.linspace(0.02, 0.2, len(toxicity.VOTERS)), np.linspace(0.9, 0.5, len(toxicity.VOTERS))])
+    want[:, 4] = want[:, 0]
+    assert abs(model.theta - want).max() < 0.05 and abs(model.prior[1] - 0.3) < 0.02
+    right = np.where(toxicity.BOTH, 0.3 * want[1] + 0.7 * (1 - want[0]), 0.3 * want[1] / (0.3 * want[1] + 0.7 * want[0]))
+    assert abs(model.accuracies() - right).max() < 0.05
+    off = model.correlations.copy()
+    np.fill_diagonal(off, 0)
+    assert off[0, 4] > 0.95 and off[4, 0] > 0.95
+    off[0, 4] = off[4, 0] = 0
+    assert off.max() < 0.2
+    assert ((model.posterior(patterns) > 0.5) == y).mean() > 0.98
+
+
+def test_abstaining_voters_say_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    y, _, patterns = made_votes(rng, 20_000)
+    model = toxicity.LabelModel().fit(patterns, y.astype(int), np.ones(len(y)))
+    assert abs(model.posterior(np.array([0]))[0] - model.prior[1]) < 1e-9  # a short text without a vote
+    assert model.posterior(np.array([1 << len(toxicity.VOTERS)]))[0] < 0.01  # a long text in which no lexicon finds a term
+
+
+def test_scores_follow_posteriors(spark, sf, monkeypatch):
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    one = toxicity.toxicity_scores(d, lab).toPandas().sort_values("doc_id").score.to_numpy()
+    monkeypatch.setattr(toxicity.LabelModel, "posterior", lambda self, p, real=toxicity.LabelModel.posterior: real(self, p)[::-1] if len(p) > 700 else real(self, p))
+    two = toxicity.toxicity_scores(d, lab).toPandas().sort_values("doc_id").score.to_numpy()
+    assert abs(one - two).max() > 0.2
+
+
+def test_language_network_against_plain_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    net = langid.Network.train(x, np.array([0, 1, 2]), ["a", "b", "c"], epochs=1)
+    got = net.log_probabilities(x, net.tables())
+    for row, found in zip(x, got, strict=True):
+        h = []
+        for w in net.filters:
+            for f in range(langid.FILTERS):
+                h.append(max(sum(float(net.embed[row[t + k]] @ w[k, :, f]) for k in range(len(w))) for t in range(langid.WINDOW - len(w) + 1)))
+        logits = np.maximum(np.array(h) + net.bias, 0) @ net.dense + net.offset
+        assert np.allclose(found, logits - np.log(np.exp(logits).sum()), atol=1e-4)
+
+
+def test_texts_without_letters_are_undetermined(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-k, t, "en") for k, t in enumerate(["½ ² ①", "12_3", "!", "a", "日"], 1)], d.schema)
+    got = langid.language_ids(d.union(odd)).toPandas().set_index("doc_id").lang_pred
+    assert [got[-k] == "und" for k in range(1, 6)] == [True, True, True, False, False]
+
+
+def test_repeated_rows_stay_within_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    seen = []
+    monkeypatch.setattr(langid.Network, "train", classmethod(lambda cls, x, y, langs, real=langid.Network.train.__func__: seen.append(len(x)) or real(cls, x, y, langs)))
+    d = spark.range(400).selectExpr("1 doc_id", "concat('text ', id, repeat(' word', 200)) text", "if(id % 2 = 0, 'a', 'b') lang").where("doc_id = 1")
+    langid.language_ids(d).count()
+    assert seen and seen[0] <= 60
+
+
+def test_edit_fingerprint_against_plain_walk():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    bits = np.random.default_rng(2016).integers(0, 2, (256, edit_fingerprint.PERIOD), dtype=np.uint8)
+    bits[:, 0] |= bits.sum(axis=1) == 0
+    for n in (0, 1, 5, 63, 400):
+        chars = edit_fingerprint.characters("".join(rng.choice(list("abcdé 日"), n)))
+        kinds, written, at = edit_fingerprint.classes(), [], 0
+        t = 0
+        while at < n:
+            written.append(int(chars[at]) + 1)
+            at += int(bits[kinds[chars[at]], t % edit_fingerprint.PERIOD])
+            t += 1
+        octaves = 1
+        while octaves < 40 and t > 64 << (octaves - 1):
+            octaves += 1
+        want = []
+        for k in range(octaves):
+            for place in edit_fingerprint.sampled(k).tolist():
+                c = written[place] if place < t else 0
+                mixed = edit_fingerprint.mix(np.uint64(c) * np.uint64(0x100000001) ^ edit_fingerprint.mix(np.array([place], dtype=np.uint64)))
+                want.append(int(mixed[0] >> np.uint64(17)) & 1)
+        assert edit_fingerprint.Walk(chars).fingerprint() == f"{t:08x}" + np.packbits(np.array(want, dtype=np.uint8)).tobytes().hex()
+
+
+def test_edit_near_duplicates_recall(spark, monkeypatch):
+    """Against all pairs; bands over HELD rows lose nothing."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
+    texts = []
+    for _ in range(12):
+        base = rng.choice(vocabulary, int(rng.integers(40, 300))).tolist()
+        for _ in range(12):
+            words = list(base)
+            for at in rng.integers(0, len(words), int(rng.integers(0, max(2, len(words) // 12)))):
+                words[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(words))
+    prints = [edit_fingerprint.Walk(edit_fingerprint.characters(t)).fingerprint() for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if edit_fingerprint.likeness(prints[a], prints[b]) >= 0.8]
+    forest = common.Forest()
+    for a, b in links:
+        forest.join(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for held in (4, 1024):
+        monkeypatch.setattr(edit_fingerprint, "HELD", held)
+        got = edit_fingerprint.edit_near_duplicates(spark, df).toPandas().set_index("node").component.to_dict()
+        assert sum(got.get(a, a) == got.get(b, b) for a, b in links) / len(links) >= 0.9 and len(links) > 100
+        assert all(forest.root(a) == forest.root(b) for a, b in got.items())
+
+
+def test_rows_of_one_id_are_cut_by_their_texts(spark):
+    d = spark.range(3000).selectExpr("cast(null as long) doc_id", "concat('text ', id) text")
+    rows = d.selectExpr("-1L key", "xxhash64(text) h", "doc_id", "text")
+    parts = edit_fingerprint.neighbours(rows).where("role = 0").groupBy("part").count().toPandas()["count"]
+    assert parts.sum() == 3000 and parts.max() < 1500 and edit_fingerprint.edit_fingerprints(d).count() == 3000
+
+
+def test_url_scores_and_verdicts_against_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    r = random.Random(4)
+    urls = [f"http://{r.choice(['a', 'b'])}{k % 7}.{r.choice(['com/en', 'net/de', 'org/fr', 'io'])}/{r.choice(['shop', 'artikel', 'x'])}{k % 11}" + "?q=1" * (k % 3 == 0) for k in range(150)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.url_verdicts(df, order=2).toPandas().set_index("page_id")
+    fold = {x.url: x.f for x in df.selectExpr("url", "pmod(xxhash64(url), 5) f").distinct().collect()}
+    ruled = {u: got.verdict[k] for k, u in enumerate(urls) if got.rule[k] is not None}
+    assert 20 < len(ruled) < 140
+
+    def grams(u):
+        s = url_filter.BEFORE * 2 + u + url_filter.AFTER
+        return [s[i : i + 3] for i in range(len(u) + 1)]
+
+    count = {"allow": Counter(), "block": Counter()}
+    for u, v in ruled.items():
+        if fold[u]:
+            for g in grams(u):
+                for j in range(3):
+                    count[v][g[2 - j :]] += 1
+                    count[v]["ctx", j, g[2 - j : 2]] += 1
+
+    def p(v, g, j=2):
+        return 1 / 256 if j < 0 else (count[v][g[2 - j :]] + 2.0 * p(v, g, j - 1)) / (count[v]["ctx", j, g[2 - j : 2]] + 2.0)
+
+    score = {u: sum(math.log(p("allow", g)) - math.log(p("block", g)) for g in grams(u)) / (len(u) + 1) for u in set(urls)}
+    assert all(math.isclose(got.score[k], score[u], rel_tol=1e-9, abs_tol=1e-12) for k, u in enumerate(urls))
+    free = [(score[u], got.verdict[k]) for k, u in enumerate(urls) if got.rule[k] is None]
+    assert max([s for s, v in free if v == "block"], default=-9) < min([s for s, v in free if v == "allow"], default=9)
+
+
+def test_url_threshold_of_ties(spark):
+    rows = [("allow", 0, 0.5)] * 4 + [("block", 0, 0.5)] * 4 + [("allow", 1, 9.0), (None, 0, 7.0)]
+    assert url_filter.threshold(spark.createDataFrame(rows, "ruled string, fold int, score double")) == 0.5
+    assert url_filter.threshold(spark.createDataFrame(rows[:4], "ruled string, fold int, score double")) is None
+
+
+def test_running_sums_and_places(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    for n in (0, 1, 255, 256, 257, 1000):
+        v = [r.randint(0, 9) for _ in range(n)]
+        got = spark.createDataFrame([(v,)], "v array<long>").select(pii.running(F.col("v"), lambda a, b: a + b).alias("s"), pii.running(F.col("v"), F.greatest).alias("m")).first()
+        assert got.s == [sum(v[: k + 1]) for k in range(n)] and got.m == [max(v[: k + 1]) for k in range(n)]
+    text = "".join(r.choice(["ab", "é", "𝒳", " ", "1", "\n"]) for _ in range(5000))
+    found = spark.createDataFrame([(text,)], "t string").select(pii.located(F.col("t"), pii.WORD).alias("x")).first().x
+    assert [(x.start, x.end, x.value) for x in found] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[abé𝒳]{3,}", text)]
+
+
+def test_a_hundred_thousand_matches(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    texts = ["1;" * 100_000, "1.2.3.4 " * 100_000, "a@b.cd " * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").persist()
+    df.count()
+    began = time.time()
+    got = {x.doc_id: (x.n, x.last) for x in pii.with_base(df).select("doc_id", F.size("base").alias("n"), F.try_element_at("base", F.lit(-1))["end"].alias("last")).collect()}
+    assert got == {0: (0, None), 1: (100_000, 799_999), 2: (100_000, 699_999)} and time.time() - began < 15
+    clean = {x.doc_id: x.text for x in pii.sanitised(df).collect()}
+    assert clean == {0: texts[0], 1: "[IP] " * 100_000, 2: "[EMAIL] " * 100_000}
+
+
+def test_terms_against_brute_force(spark):
+    """Counts in passages of distinct texts, and every occurrence of a term outside base spans."""
+    import math
+    from collections import Counter
+
+    data = [(k, f"row {chr(97 + k % 26)}{chr(97 + k // 26)}word of the {'blue' if k % 2 else 'green'} list") for k in range(200)]
+    data += [(300 + k, f"Zara and the {w} at +1 555 123 45{k % 2}0 x") for k, w in enumerate(["cat", "dog", "cat", "emu"])]
+    data += [(400, data[-1][1]), (401, data[-1][1]), (402, "zara alone"), (403, "Emu zara@emu.org zara")]
+    got = pii.pii_spans(spark.createDataFrame(data, "doc_id long, text string")).toPandas().set_index("doc_id").spans
+    seen, n, n_t, n_e, n_et = set(), 0, Counter(), Counter(), Counter()
+    bases = {d: base_spans(t) for d, t in data}
+    for d, t in data:
+        if t in seen:
+            continue
+        seen.add(t)
+        n += 1  # each text is one passage
+        rest = "".join(" " if any(s <= i < e for s, _, e, _ in bases[d]) else c for i, c in enumerate(t))
+        words = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", rest)}
+        entities = {(k, t[s:e].lower()) for s, _, e, k in bases[d]}
+        n_t.update(words)
+        n_e.update(entities)
+        n_et.update((x, w) for x in entities for w in words)
+    strong = {w for (x, w), c in n_et.items() if c >= 2 and n_e[x] >= 2 and math.log2(n / n_e[x]) >= 4 and c / n_t[w] >= 0.5 - 1e-9}
+    assert strong and "the" not in strong
+    for d, t in data:
+        want = list(bases[d])
+        for m in re.finditer(r"[^\W\d_]{3,}", t):
+            if m[0].lower() in strong and not any(s < m.end() and m.start() < e for s, _, e, _ in bases[d]):
+                want.append((m.start(), 4, m.end(), "term"))
+        assert got[d] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(want)), d
+
+
+def base_spans(text):
+    from tests.llm import test_contracts
+
+    return test_contracts.base_spans(text)
+
+
+def test_other_vocabularies_are_encoded_whole():
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        tok = token_count.tokenizer(token_count.vocabulary(name))
+        assert token_count.byte_level(tok) == (name == "byte_bpe_50k.json") and packing.word_rules(tok) == (name == "word_bpe_49k.json")
+        texts = ["It's  a ÄÖ 12 test\n" * 9, "", "日本語、" * 50]
+        whole = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert token_count.count_tokens(tok, texts, 64, 8) == [len(x) for x in whole]
+        import numpy as np
+
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in packing.Words(tok).ids(texts)] == whole
+
+
+def test_long_texts_without_spaces_are_linear():
+    import time
+
+    tok = token_count.tokenizer(token_count.vocabulary("byte_bpe_50k.json"))
+    for text in ("日本語、" * 50_000, "12 " * 150_000, "ab1,c" * 100_000, "it's" * 60_000, "<|endoftext|>" * 5000, "x" * 20_000):
+        began = time.time()
+        want = len(tok.encode(text, add_special_tokens=False).ids)
+        plain, began = time.time() - began, time.time()
+        assert token_count.count_tokens(tok, [text], 4096, 64) == [want]
+        assert time.time() - began < 5 * plain + 1
+
+
+def test_embeddings_of_low_rank(spark, monkeypatch):
+    """The margin holds for any vectors: all links of vectors close to a few directions, also in blocks smaller than a cell."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2500, 6)) @ rng.normal(size=(6, 96)) + 0.05 * rng.normal(size=(2500, 96))
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for size in (1 << 22, 8 * 96 * 40):
+        monkeypatch.setattr(embed_dedup, "BLOCK_BYTES", size)
+        got = embed_dedup.embedding_components(df).toPandas().sort_values("vec_id")
+        assert (got.n_links.to_numpy() == want).all() and want.sum() > 2000
+
+
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    long = spark.range(500).selectExpr("if(id < 300, 1, id) k", "id v")
+    table = common.Table(long.groupBy("k").agg({"v": "min", "k": "count"}).selectExpr("k", "`min(v)` m", "`count(k)` n").where("k <> 400"), "t").df
+    want = sorted(map(tuple, long.join(table.drop("n"), "k", "left").select("k", "v", "m").collect()), key=str)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    for hot in (10, 10_000):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        assert sorted(map(tuple, common.join_hot(long, table, ["k"], "n", "left").select("k", "v", "m").collect()), key=str) == want
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    star = spark.range(400).selectExpr("999 a", "id b").union(spark.range(400).selectExpr("id + 1000 a", "id b"))
+    got = common.components(star).toPandas()
+    assert got.component.eq(0).all() and len(got) == 801
+
+
+def test_scopes_drop_their_tables(spark):
+    with common.Scope() as scope:
+        one, two = common.Table(spark.range(3), "one"), common.Table(spark.range(4), "two")
+        kept = scope.keep(two)
+    assert kept.count() == 4 and not common.Scope.open
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(one.path)
