@@ -15,6 +15,8 @@ from netloom.llm.common import Forest, Table, components, hashed_order, join_hot
 #: The centroids are fitted on at most so many vectors of a length (the more, the more cells), drawn by hash, and on at most so many
 #: bytes of them; all vectors are assigned and compared. Cells of a length at most; a length with fewer vectors is one cell.
 SAMPLE, LARGEST_SAMPLE, SAMPLE_BYTES, CELLS, FEW = 20_000, 65_536, 64 << 20, 16_384, 1_000
+#: Sending a vector to a cell costs about as much as so many products.
+COPY_COST = 1_000
 #: A block of a cell holds about so many bytes of vectors; a task compares two blocks.
 BLOCK_BYTES = 4 << 20
 
@@ -40,6 +42,20 @@ def unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def fitted(x: np.ndarray, count: int, most: int, least: float) -> np.ndarray | None:
+    """Centres for `count` vectors like the unit rows x: as many as make the least work, by the visits of rows that the fit didn't see. More
+    cells make fewer products and more visits; with the count, more are worth it. None: one cell."""
+    some, rest = x[len(x) // 20 :], x[: len(x) // 20][:1000]
+    best, work, k = None, COPY_COST + count, 2
+    while k <= min(most, len(some) // 4):
+        centres = spherical_kmeans(some, k)
+        now = np.mean([len(c) for c in cells_of(rest, centres, least)]) * (COPY_COST + count / k)
+        if now < work:
+            best, work = centres, now
+        k *= 2
+    return best
+
+
 def cells_of(x: np.ndarray, centres: np.ndarray, least: float) -> list[list[int]]:
     """The home (nearest) cell of each unit vector, and then the cells that it visits, ascending.
 
@@ -120,13 +136,13 @@ def embedding_components(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     centres, base, block = {}, 0, {}
     for d, count in sorted((r[0], r[1]) for r in nodes.groupBy(F.size("vec")).count().collect()):
         block[d] = max(256, BLOCK_BYTES // (8 * d))
-        k = 1 if count < FEW else min(math.ceil(math.sqrt(count)), CELLS)
-        if k > 1:
+        centres[d] = (base, None)
+        if count >= FEW:
+            k = min(math.ceil(math.sqrt(count)), CELLS)
             most = max(min(max(SAMPLE, 4 * k), LARGEST_SAMPLE, SAMPLE_BYTES // (4 * d)), 4)
             own = unit(nodes.where(F.size("vec") == d).orderBy(hashed_order("node"), "node").limit(most).select("vec").toPandas()["vec"])
-            k = min(k, max(1, len(own) // 4))
-        centres[d] = (base, spherical_kmeans(own, k) if k > 1 else None)
-        base += k
+            centres[d] = (base, fitted(own, count, k, least))
+        base += 1 if centres[d][1] is None else len(centres[d][1])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
