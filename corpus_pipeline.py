@@ -6,13 +6,11 @@ docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import mixing, packing, pii, simhash, toxicity
-from netloom.llm.common import Table, shared_dir, small_side
+from netloom.llm.common import Scope, Table, small_side
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        path = f"{shared_dir(spark)}/pipeline-{k}-{name}-{uuid.uuid4().hex[:8]}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The stages one after the other, each written and read again. What a stage wrote for itself goes when it is done, and what it
+    returned when the next one is done; the last one's rows stay."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        with Scope() as scope:
+            now = Table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            docs = scope.keep(now)
+        if before is not None:
+            before.drop()
+        before = now
     return docs
