@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,31 +42,47 @@ def _origins(batches: Iterator[pd.DataFrame], cores: list[str]) -> Iterator[tupl
         yield int(rest["origin"].iloc[0]), rest["destination"].to_numpy(), rest[cores].to_numpy(float)
 
 
-def _loaded(g: K.GraphArrays, origin: int, targets: np.ndarray, values: np.ndarray, flows: np.ndarray, blocked: bool, whole: bool = False) -> K.Tree | None:
-    if origin not in g.place:
-        return None
-    demand: dict[int, np.ndarray] = {}
-    for d, v in zip(targets.tolist(), values, strict=True):
-        if d in g.place:
-            demand[g.place[d]] = demand.get(g.place[d], 0) + v
-    tree = K.shortest_tree(g, g.place[origin], blocked, None if whole else set(demand) or None)
-    K.load(g, tree, demand, flows)
-    return tree
+def _batches(g: K.GraphArrays, batches: Iterator[pd.DataFrame], cores: list[str], blocked: bool) -> Iterator[tuple[K.Trees, np.ndarray, np.ndarray, np.ndarray]]:
+    """Trees of some origins, with the demand of each that the graph knows: (trees, rows of them, targets, demand)."""
+    known = np.sort(g.nodes)
+    place = np.argsort(g.nodes, kind="stable")
+
+    def searched(some: list[tuple[int, np.ndarray, np.ndarray]]):
+        rows = np.repeat(np.arange(len(some)), [len(t) for _, t, _ in some])
+        ids, values = np.concatenate([t for _, t, _ in some]), np.concatenate([v for *_, v in some])
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        there = known[at] == ids
+        return K.shortest_trees(g, np.array([g.place[o] for o, *_ in some]), blocked), rows[there], place[at[there]], values[there]
+
+    size = max(1, min(256, K.BATCH_LABELS // max(1, len(g.nodes))))
+    waiting = []
+    for one in _origins(batches, cores):
+        if one[0] in g.place:
+            waiting.append(one)
+        if len(waiting) == size:
+            yield searched(waiting)
+            waiting = []
+    if waiting:
+        yield searched(waiting)
 
 
-def all_or_nothing(spark: SparkSession, graph: K.GraphArrays, od: DataFrame, cores: list[str], blocked: bool = False, prepared: bool = False) -> DataFrame:
+def all_or_nothing(spark: SparkSession, graph: K.GraphArrays, od: DataFrame, cores: list[str], blocked: bool = False, prepared: bool = False, shared: Broadcast | None = None) -> DataFrame:
     """(edge, link_id, direction, *cores): demand on cheapest paths. Each task sums its origins' flows by edge before the shuffle.
 
     Demand within a zone, and between zones without a path, is not loaded. prepared: od comes from by_origin and isn't shuffled again.
+    shared: the graph as it was broadcast before; then only its costs are sent.
     """
     reachable_package(spark)
-    shared = spark.sparkContext.broadcast(graph)
+    costs = spark.sparkContext.broadcast(graph.cost) if shared else None
+    shared = shared or spark.sparkContext.broadcast(graph)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = shared.value
+        if costs is not None:
+            g.with_cost(costs.value)
         flows = np.zeros((len(g.tail), len(cores)))
-        for o, targets, values in _origins(batches, cores):
-            _loaded(g, o, targets, values, flows, blocked)
+        for trees, rows, targets, values in _batches(g, batches, cores, blocked):
+            K.load_trees(g, trees, rows, targets, values, flows)
         used = np.flatnonzero(flows.any(axis=1))
         yield pd.DataFrame({"edge": used, "link_id": g.link_id[used], "direction": g.direction[used]} | {c: flows[used, k] for k, c in enumerate(cores)})
 
@@ -98,26 +115,14 @@ def select_link(spark: SparkSession, graph: K.GraphArrays, od: DataFrame, cores:
         g = shared.value
         inside = {n: np.array([(k, d) in members[n] for k, d in zip(g.link_id.tolist(), g.direction.tolist(), strict=True)]) for n in names}
         flows = {n: np.zeros((len(g.tail), len(cores))) for n in names}
-        for o, targets, values in _origins(batches, cores):
-            if o not in g.place:
-                continue
-            tree = K.shortest_tree(g, g.place[o], blocked)
-            used = {n: np.zeros(len(g.nodes), dtype=bool) for n in names}
-            for v in tree.order:  # parents come first
-                k = tree.edge[v]
-                if k >= 0:
-                    for n in names:
-                        used[n][v] = used[n][g.tail[k]] or inside[n][k]
-            rows = []
-            for n in names:
-                demand = {}
-                for d, value in zip(targets.tolist(), values, strict=True):
-                    v = g.place.get(d)
-                    if v is not None and used[n][v]:
-                        demand[v] = demand.get(v, 0) + value
-                        rows.append((n, o, d, None, None, *value))
-                K.load(g, tree, demand, flows[n])
-            yield pd.DataFrame(rows, columns=["set", "origin", "destination", "link_id", "direction", *cores]).astype({c: "Int64" for c in ("origin", "destination", "link_id", "direction")})
+        g.fields = {n: inside[n].astype(float) for n in names}
+        for trees, rows, targets, values in _batches(g, batches, cores, blocked):
+            uses = K.path_sums(g, trees, names)
+            for k, n in enumerate(names):
+                hit = (uses[rows, targets, k] > 0) & np.isfinite(trees.cost[rows, targets]) & (trees.origins[rows] != targets)
+                K.load_trees(g, trees, rows[hit], targets[hit], values[hit], flows[n])
+                none = pd.array([None] * int(hit.sum()), dtype="Int64")
+                yield pd.DataFrame({"set": n, "origin": g.nodes[trees.origins[rows[hit]]], "destination": g.nodes[targets[hit]], "link_id": none, "direction": none} | {c: values[hit, j] for j, c in enumerate(cores)})
         for n in names:
             at = np.flatnonzero(flows[n].any(axis=1))
             none = pd.array([None] * len(at), dtype="Int64")
@@ -248,6 +253,8 @@ def assign(
         base = np.array([given.get((k, d)) or 0.0 for k, d in zip(g.link_id.tolist(), g.direction.tolist(), strict=True)])
     time_at = lambda flow: curve.values(flow + base, capacity, t0, *p)
     rows = by_origin(od, [c.core for c in classes]).persist()
+    reachable_package(spark)
+    shared = spark.sparkContext.broadcast(g)
     same_cost = not fixed.any()
 
     def load(times: np.ndarray) -> np.ndarray:
@@ -255,7 +262,7 @@ def assign(
         for some in [list(range(len(classes)))] if same_cost else [[k] for k in range(len(classes))]:
             g.with_cost(times + fixed[:, some[0]])
             names = [classes[k].core for k in some]
-            found = all_or_nothing(spark, g, rows, names, blocked, prepared=True).toPandas()
+            found = all_or_nothing(spark, g, rows, names, blocked, prepared=True, shared=shared).toPandas()
             for k, n in zip(some, names, strict=True):
                 y[found["edge"].to_numpy(np.int64), k] = found[n].to_numpy()
         return y * pce
@@ -319,6 +326,7 @@ def assign(
             done = True
             break
     rows.unpersist()
+    shared.unpersist()
     if x is None:
         x = np.zeros((len(t0), len(classes)))
     return Equilibrium(g.with_cost(times), classes, x / pce, times, t0, capacity, base, out, done)

@@ -119,17 +119,16 @@ def arrays(edges: DataFrame, zones: DataFrame, cost: str, fields: tuple[str, ...
     return K.GraphArrays(nodes, place(pdf["tail"].to_numpy(np.int64)), place(pdf["head"].to_numpy(np.int64)), pdf["__cost"].to_numpy(), pdf["link_id"].to_numpy(np.int64), pdf["direction"].to_numpy(np.int64), frozenset(range(len(zone))), {f: pdf[f"__{f}"].to_numpy() for f in fields})
 
 
-def per_origin(spark: SparkSession, graph: K.GraphArrays, origins: DataFrame, work, schema: str, blocked: bool = False) -> DataFrame:
-    """work(graph, tree) -> DataFrame for the shortest tree of each of origins(origin); unknown origins give nothing."""
+def per_origins(spark: SparkSession, graph: K.GraphArrays, origins: DataFrame, work, schema: str, blocked: bool = False) -> DataFrame:
+    """work(graph, trees) -> DataFrame for batches of origins(origin) searched together; unknown origins give nothing."""
     reachable_package(spark)
     shared = spark.sparkContext.broadcast(graph)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = shared.value
         for pdf in batches:
-            for o in pdf["origin"].tolist():
-                if o in g.place:
-                    yield work(g, K.shortest_tree(g, g.place[o], blocked))
+            for some in K.batches_of(g, [g.place[o] for o in pdf["origin"].tolist() if o in g.place]):
+                yield work(g, K.shortest_trees(g, np.array(some), blocked))
 
     return spread(origins.select(F.col("origin").cast("long").alias("origin")).distinct(), "origin").mapInPandas(run, schema)
 
@@ -137,29 +136,29 @@ def per_origin(spark: SparkSession, graph: K.GraphArrays, origins: DataFrame, wo
 def skims(spark: SparkSession, graph: K.GraphArrays, zones: DataFrame, names: list[str], blocked: bool = False) -> DataFrame:
     """(origin, destination, cost, *names): sums along the cheapest paths between zones; 0 within, infinite if unreachable."""
 
-    def work(g, tree):
+    def work(g, trees):
         z = np.array(sorted(g.zones))
-        out = pd.DataFrame({"origin": g.nodes[tree.origin], "destination": g.nodes[z], "cost": tree.cost[z]})
-        values = K.skim(g, tree, names)
-        return out.assign(**{n: values[z, k] for k, n in enumerate(names)})
+        out = pd.DataFrame({"origin": np.repeat(g.nodes[trees.origins], len(z)), "destination": np.tile(g.nodes[z], len(trees.origins)), "cost": trees.cost[:, z].ravel()})
+        values = K.path_sums(g, trees, names)[:, z]
+        return out.assign(**{n: values[:, :, k].ravel() for k, n in enumerate(names)})
 
     schema = "origin long, destination long, cost double" + "".join(f", {n} double" for n in names)
-    return per_origin(spark, graph, zones.select(F.col("zone").alias("origin")), work, schema, blocked)
+    return per_origins(spark, graph, zones.select(F.col("zone").alias("origin")), work, schema, blocked)
 
 
 def trees(spark: SparkSession, graph: K.GraphArrays, origins: DataFrame, blocked: bool = False) -> DataFrame:
     """(origin, node, cost, pred_node, link_id, direction) of reachable nodes; no predecessor at the origin."""
 
-    def work(g, tree):
-        at = np.array([v for v in tree.order])
-        k = tree.edge[at]
+    def work(g, found):
+        row, at = np.nonzero(np.isfinite(found.cost))
+        k = found.edge[row, at]
         some = k >= 0
         none = lambda x: pd.array(np.where(some, x, 0), dtype="Int64").copy()
-        out = pd.DataFrame({"origin": g.nodes[tree.origin], "node": g.nodes[at], "cost": tree.cost[at], "pred_node": none(g.nodes[g.tail[k]]), "link_id": none(g.link_id[k]), "direction": none(g.direction[k])})
+        out = pd.DataFrame({"origin": g.nodes[found.origins[row]], "node": g.nodes[at], "cost": found.cost[row, at], "pred_node": none(g.nodes[g.tail[k]]), "link_id": none(g.link_id[k]), "direction": none(g.direction[k])})
         out.loc[~some, ["pred_node", "link_id", "direction"]] = pd.NA
         return out
 
-    return per_origin(spark, graph, origins, work, "origin long, node long, cost double, pred_node long, link_id long, direction long", blocked)
+    return per_origins(spark, graph, origins, work, "origin long, node long, cost double, pred_node long, link_id long, direction long", blocked)
 
 
 def paths(spark: SparkSession, graph: K.GraphArrays, pairs: DataFrame, blocked: bool = False) -> DataFrame:
@@ -204,51 +203,56 @@ def disconnected(spark: SparkSession, graph: K.GraphArrays, zones: DataFrame, bl
     return spread(zones.select(F.col("zone").cast("long").alias("zone")), "zone").mapInPandas(run, "origin long, destination long")
 
 
-def min_plus(edges: DataFrame, origins: DataFrame, cost: str, rounds: int = 64) -> DataFrame:
-    """(origin, node, cost, pred_node, link_id, direction) by relaxing all labels at once, round by round: for graphs too large
-    to broadcast. Only labels that got better are sent on; each round is checkpointed to the shared folder."""
-    spark = edges.sparkSession
+def checkpoints(spark: SparkSession) -> None:
+    """Sees that checkpoints go to the folder that driver and executors share; one of our own only in local runs."""
     sc = spark.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir("/tmp/checkpoints")
+    if sc.getCheckpointDir():
+        return
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not path and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(path or "/tmp/checkpoints")
+
+
+def min_plus(edges: DataFrame, origins: DataFrame, cost: str) -> DataFrame:
+    """(origin, node, cost, pred_node, link_id, direction) by relaxing all labels at once, round by round until none gets better: for
+    graphs too large to broadcast. Only labels that got better are sent on; each round is checkpointed to the shared folder."""
+    spark = edges.sparkSession
+    checkpoints(spark)
     origin = origins.select(F.col("origin").alias("origin"))
     none = F.lit(None).cast("long")
-    labels = origin.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0.0).alias("cost"), none.alias("pred_node"), none.alias("link_id"), none.alias("direction")).alias("l")).checkpoint()
+    labels = origin.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0.0).alias("cost"), none.alias("pred_node"), none.alias("link_id"), none.alias("direction"), F.lit(None).cast("double").alias("step")).alias("l")).checkpoint()
     front = labels
     step = edges.select("tail", "head", F.col(cost).cast("double").alias("c"), F.col("link_id").cast("long").alias("link_id"), F.col("direction").cast("long").alias("direction"))
-    for _ in range(rounds):
-        sent = front.join(step, F.col("node") == F.col("tail")).select("origin", F.col("head").alias("node"), F.struct((F.col("l.cost") + F.col("c")).alias("cost"), F.col("tail").alias("pred_node"), "link_id", "direction").alias("l"))
+    while True:  # costs aren't negative: a round settles at least one more link of each path
+        sent = front.join(step, F.col("node") == F.col("tail")).select("origin", F.col("head").alias("node"), F.struct((F.col("l.cost") + F.col("c")).alias("cost"), F.col("tail").alias("pred_node"), "link_id", "direction", F.col("c").alias("step")).alias("l"))
         best = sent.groupBy("origin", "node").agg(F.min("l").alias("n"))
         both = labels.join(best, ["origin", "node"], "full").select("origin", "node", "l", "n").checkpoint()
-        front = both.where("n is not null and (l is null or n.cost < l.cost)").select("origin", "node", F.col("n").alias("l"))
-        labels = both.select("origin", "node", F.when(F.expr("l is null or n.cost < l.cost"), F.col("n")).otherwise(F.col("l")).alias("l"))
+        better = F.expr("n is not null and (l is null or n.cost < l.cost or (n.cost = l.cost and node <> origin and n.step > 0 and n < l))")
+        front = both.where(F.expr("n is not null and (l is null or n.cost < l.cost)")).select("origin", "node", F.col("n").alias("l"))
+        labels = both.select("origin", "node", F.when(better, F.col("n")).otherwise(F.col("l")).alias("l"))
         if front.isEmpty():
-            return labels.select("origin", "node", "l.*")
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+            return labels.select("origin", "node", "l.*").drop("step")
 
 
-def dead_ends(edges: DataFrame, zones: DataFrame, rounds: int = 100) -> DataFrame:
+def dead_ends(edges: DataFrame, zones: DataFrame) -> DataFrame:
     """(link_id, direction) of edges that no path between zones can use: into or out of nodes that can be entered from and left
-    to one neighbour only, or can't be entered at all, round by round. Nodes that can only be entered stay."""
-    own = edges.select("link_id", "direction", "tail", "head").where("tail <> head").cache()
-    live = own
+    to one neighbour only, or can't be entered at all, round by round until none is left. Nodes that can only be entered stay."""
+    checkpoints(edges.sparkSession)
+    own = edges.select("link_id", "direction", "tail", "head").where("tail <> head").checkpoint()
+    live, n = own, own.count()
     keep = zones.select(F.col("zone").alias("node"))
-    for _ in range(rounds):
-        out = live.groupBy(F.col("tail").alias("node")).agg(F.collect_set("head").alias("o"))
-        into = live.groupBy(F.col("head").alias("node")).agg(F.collect_set("tail").alias("i"))
-        both = out.join(into, "node", "full").select("node", F.coalesce("o", F.array().cast("array<bigint>")).alias("o"), F.coalesce("i", F.array().cast("array<bigint>")).alias("i"))
-        gone = both.where((F.size("i") == 0) | ((F.size("o") > 0) & (F.size(F.array_union("o", "i")) == 1))).select("node").join(keep, "node", "left_anti")
-        gone = spark_list(gone)
-        if not gone:
+    while n:
+        ends = live.select(F.col("tail").alias("node"), F.col("head").alias("other"), F.lit(1).alias("out")).union(live.select("head", "tail", F.lit(0)))
+        both = ends.groupBy("node").agg(F.sum("out").alias("o"), F.sum(1 - F.col("out")).alias("i"), F.min("other").alias("low"), F.max("other").alias("high"))
+        gone = both.where("i = 0 or (o > 0 and low = high)").select("node").join(keep, "node", "left_anti")
+        live = live.join(gone.select(F.col("node").alias("tail")), "tail", "left_anti").join(gone.select(F.col("node").alias("head")), "head", "left_anti").select(own.columns).checkpoint()
+        n, before = live.count(), n
+        if n == before:
             break
-        live = live.where(~F.col("tail").isin(gone) & ~F.col("head").isin(gone))
     return own.join(live, ["link_id", "direction"], "left_anti").select("link_id", "direction")
 
 
-def spark_list(df: DataFrame) -> list:
-    return [r[0] for r in df.collect()]
-
-
 def chains(links: DataFrame, zones: DataFrame) -> DataFrame:
     """(link_id, chain, seq, way): links contracted at nodes of degree two that aren't zones; way is 1 where the link runs along
     its chain. Degrees count links whatever their direction; a chain is named by its smallest link. O(links) on the driver, so
