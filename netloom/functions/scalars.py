@@ -41,13 +41,18 @@ def to_seconds(text: Column) -> Column:
 
 
 def to_time_string(seconds: Column) -> Column:
-    """HH:MM:SS within a day, N day(s), HH:MM:SS beyond."""
+    """H:MM:SS within a day, N day(s), H:MM:SS beyond."""
     days = F.floor(seconds / 86_400)
     rest = F.pmod(seconds, F.lit(86_400))
-    clock = F.concat_ws(":", *[F.lpad(x.cast("string"), 2, "0") for x in (F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)])
+    clock = F.concat_ws(":", F.floor(rest / 3600).cast("string"), *[F.lpad(x.cast("string"), 2, "0") for x in (F.floor(rest / 60) % 60, rest % 60)])
     return F.when(days == 0, clock).otherwise(F.concat(days.cast("string"), F.when(days == 1, F.lit(" day, ")).otherwise(F.lit(" days, ")), clock))
 
 
+def to_feed_time(seconds: Column) -> Column:
+    """HH:MM:SS; hours pass 24 after midnight."""
+    return F.concat_ws(":", *[F.lpad(x.cast("string"), 2, "0") for x in (F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)])
+
+
 def modes_union(a: Column, b: Column) -> Column:
     """Distinct characters of both strings, sorted."""
     return F.array_join(F.array_sort(F.array_union(chars(a), chars(b))), "")

@@ -174,6 +174,10 @@ class Equilibrium:
         cols = {"link_id": g.link_id, "direction": g.direction} | {c.name: self.flows[:, k] for k, c in enumerate(self.classes)}
         return spark.createDataFrame(pd.DataFrame(cols | {"pce": pce, "preload": self.preload, "time": self.times, "delay": delay, "voc": (pce + self.preload) / self.capacity}))
 
+    def free_df(self, spark: SparkSession) -> DataFrame:
+        """(link_id, direction, free_time, capacity) of each edge."""
+        return spark.createDataFrame(pd.DataFrame({"link_id": self.graph.link_id, "direction": self.graph.direction, "free_time": self.free_times, "capacity": self.capacity}))
+
     def report_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pd.DataFrame(self.report))
 
@@ -247,10 +251,7 @@ def assign(
         raise ValueError(f"{capacity_field} must be positive")
     p = [g.fields[x] if isinstance(x, str) else x for x in parameters]
     pce, fixed = np.array([c.pce for c in classes]), np.stack([c.fixed(g) for c in classes], axis=1)
-    base = np.zeros(len(t0))
-    if preload is not None:
-        given = {(r.link_id, r.direction): r.preload for r in preload.select("link_id", "direction", "preload").collect()}
-        base = np.array([given.get((k, d)) or 0.0 for k, d in zip(g.link_id.tolist(), g.direction.tolist(), strict=True)])
+    base = preload_of(g, preload)
     time_at = lambda flow: curve.values(flow + base, capacity, t0, *p)
     rows = by_origin(od, [c.core for c in classes]).persist()
     reachable_package(spark)
@@ -332,6 +333,32 @@ def assign(
     return Equilibrium(g.with_cost(times), classes, x / pce, times, t0, capacity, base, out, done)
 
 
+def merged_preload(edges: DataFrame, preload: DataFrame) -> DataFrame:
+    """(link_id, direction, preload) of each edge: what preload(link_id, direction, preload) says, 0 without a row. Repeated rows and missing
+    columns are an error; rows of edges that aren't there are left out."""
+    if missing := {"link_id", "direction", "preload"} - set(preload.columns):
+        raise ValueError(f"a preload lacks {', '.join(sorted(missing))}")
+    if not preload.groupBy("link_id", "direction").count().where("count > 1").isEmpty():
+        raise ValueError("a preload has one row for each link and direction")
+    given = preload.select("link_id", "direction", F.nanvl(F.col("preload").cast("double"), F.lit(0.0)).alias("preload"))
+    return edges.select("link_id", "direction").join(given, ["link_id", "direction"], "left").fillna(0.0, ["preload"])
+
+
+def preload_of(g: K.GraphArrays, preload: DataFrame | None) -> np.ndarray:
+    """A preload by edge of the graph (which the driver holds in any case)."""
+    if preload is None:
+        return np.zeros(len(g.tail))
+    edges = preload.sparkSession.createDataFrame(pd.DataFrame({"link_id": g.link_id, "direction": g.direction, "edge": np.arange(len(g.tail))}))
+    rows = merged_preload(edges, preload).join(edges, ["link_id", "direction"]).select("edge", "preload").toPandas()
+    return rows.sort_values("edge")["preload"].to_numpy(float)
+
+
+def relative_gap(edges: DataFrame) -> DataFrame:
+    """(rgap) of edges(time, flow, best): |sum of time * flow - sum of time * best| over the first, best being the flow on cheapest paths."""
+    now, best = F.sum(F.col("time") * F.col("flow")), F.sum(F.col("time") * F.col("best"))
+    return edges.agg((F.abs(now - best) / now).alias("rgap"))
+
+
 def congested_skims(spark: SparkSession, found: Equilibrium, zones: DataFrame, names: list[str] | None = None, which: int = 0) -> DataFrame:
     """(origin, destination, cost, congested_time, *names) at the equilibrium's times: cost is the class's generalised cost."""
     from netloom.operators.graph import skims

@@ -61,15 +61,14 @@ def path_size_logit(routes: DataFrame, costs: DataFrame, beta: float = 1.0, cuto
     Overlap: the sum over links of their share of the route's cost over the number of kept routes that use them.
     """
     keyed = routes.select(*PAIR, "route").withColumn("route_id", F.xxhash64("origin", "destination", "route"))
-    steps = keyed.select(*PAIR, "route_id", F.explode("route").alias("link")).join(costs.select("link", F.col("cost").alias("t")), "link")
-    with_cost = keyed.join(steps.groupBy("route_id").agg(F.sum("t").alias("cost")), "route_id")
-    pair = W.partitionBy(*PAIR)
+    steps = keyed.select("*", F.explode("route").alias("link")).join(costs.select("link", F.col("cost").alias("__t")), "link").repartition(*PAIR)
+    pair, route = W.partitionBy(*PAIR), W.partitionBy(*PAIR, "route_id")  # one shuffle by pair serves all that follows
     bound = inverse_binary_logit(F.lit((1 - cutoff) / 2 + 0.5))
-    masked = with_cost.withColumn("__least", F.min("cost").over(pair)).withColumn("mask", (F.col("__least") > 0) & (F.col("cost") <= F.col("__least") + bound))
-    used = steps.join(masked.where("mask").select("route_id", "cost"), "route_id")
-    often = used.groupBy(*PAIR, "link").agg(F.count("*").alias("n"))
-    overlap = used.join(often, [*PAIR, "link"]).groupBy("route_id").agg(F.sum(F.col("t") / F.col("cost") / F.col("n")).alias("path_overlap"))
-    full = masked.join(overlap, "route_id", "left").fillna(0.0, ["path_overlap"])
+    steps = steps.withColumn("cost", F.sum("__t").over(route)).withColumn("__least", F.min("cost").over(pair))
+    steps = steps.withColumn("mask", (F.col("__least") > 0) & (F.col("cost") <= F.col("__least") + bound))
+    steps = steps.withColumn("__n", F.sum(F.col("mask").cast("int")).over(W.partitionBy(*PAIR, "link")))
+    share = F.sum(F.when(F.col("mask"), F.col("__t") / F.col("cost") / F.col("__n")).otherwise(0.0))
+    full = steps.groupBy(*PAIR, "route_id", "route").agg(F.first("cost").alias("cost"), F.first("mask").alias("mask"), F.first("__least").alias("__least"), share.alias("path_overlap"))
     weight = F.when(F.col("mask"), F.pow("path_overlap", F.lit(beta)) * F.exp(F.col("__least") - F.col("cost"))).otherwise(0.0)
     full = full.withColumn("__w", weight).withColumn("__s", F.sum("__w").over(pair))
     return full.select(*PAIR, "route", "route_id", "cost", "mask", "path_overlap", F.when(F.col("__s") > 0, F.col("__w") / F.col("__s")).otherwise(0.0).alias("probability"))
@@ -101,16 +100,16 @@ def select_sets(spark: SparkSession, sets: dict[str, list]) -> DataFrame:
 
 
 def routes_in_sets(routes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(set, route_id) of routes that use all links of a part of the set."""
-    steps = routes.select("route_id", F.explode(F.array_distinct("route")).alias("link")).select("route_id", F.abs("link").alias("link_id"), F.signum("link").cast("long").alias("way"))
-    size = sets.groupBy("set", "part").agg(F.count("*").alias("n"))
-    hit = steps.join(F.broadcast(sets), "link_id").where("direction = 0 or direction = way").select("set", "part", "route_id", "link_id", "direction").distinct()
-    return hit.groupBy("set", "part", "route_id").agg(F.count("*").alias("m")).join(F.broadcast(size), ["set", "part"]).where("m = n").select("set", "route_id").distinct()
+    """(set, origin, destination, route_id) of routes that use all links of a part of the set."""
+    steps = routes.select(*PAIR, "route_id", F.explode(F.array_distinct("route")).alias("link")).select(*PAIR, "route_id", F.abs("link").alias("link_id"), F.signum("link").cast("long").alias("way"))
+    size = sets.groupBy("set", "part").agg(F.count("*").alias("n"))  # the caller's list of links: a few rows
+    hit = steps.join(F.broadcast(sets), "link_id").where("direction = 0 or direction = way").select("set", "part", *PAIR, "route_id", "link_id", "direction").distinct()
+    return hit.groupBy("set", "part", *PAIR, "route_id").agg(F.count("*").alias("m")).join(F.broadcast(size), ["set", "part"]).where("m = n").select("set", *PAIR, "route_id").distinct()
 
 
 def select_link(routes: DataFrame, demand: DataFrame, core: str, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(set, origin, destination, volume) and (set, link_id, direction, volume) of demand on routes in the sets."""
-    used = _demanded(routes, demand, core).join(routes_in_sets(routes, sets), "route_id")
+    used = _demanded(routes, demand, core).join(routes_in_sets(routes, sets), [*PAIR, "route_id"])
     od = used.groupBy("set", *PAIR).agg(F.sum("volume").alias("volume"))
     links = used.select("set", F.explode("route").alias("link"), "volume").groupBy("set", F.abs("link").alias("link_id"), F.signum("link").cast("long").alias("direction")).agg(F.sum("volume").alias("volume"))
     return od, links
@@ -122,7 +121,7 @@ def sub_area(routes: DataFrame, demand: DataFrame, core: str, edges: DataFrame,
     Each maximal run of a route's edges that touch the area becomes demand from where it enters (a boundary node outside) or begins to
     where it leaves or ends.
     """
-    rows = _demanded(routes, demand, core).select("route_id", "volume", F.posexplode("route").alias("p", "link"))
+    rows = _demanded(routes, demand, core).select(F.struct(*PAIR, "route_id").alias("route_id"), "volume", F.posexplode("route").alias("p", "link"))
     mark = inside.select("node", F.lit(True).alias("in")).distinct()
     e = edges.join(mark.withColumnsRenamed({"node": "tail", "in": "tin"}), "tail", "left").join(mark.withColumnsRenamed({"node": "head", "in": "hin"}), "head", "left")
     e = e.select("link", "tail", "head", F.expr("tin is not null").alias("tin"), F.expr("hin is not null").alias("hin"))

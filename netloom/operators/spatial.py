@@ -89,11 +89,23 @@ def points_in_zones(points: DataFrame, zones: DataFrame, size: float) -> DataFra
 
 
 def closest_zone(points: DataFrame, zones: DataFrame, size: float) -> DataFrame:
-    """(id, zone): the zone that holds a point, the smallest if several do; else that of the nearest corner."""
+    """(id, zone): the zone that holds a point, the smallest if several do; else that whose border is nearest, the smallest of equals (to 1e-9).
+
+    Borders are met in cells around them, of `size` at first and twice as large for the points that have met none.
+    """
     held = points_in_zones(points, zones, size).groupBy("id").agg(F.min("zone").alias("zone"))
     rest = points.join(held.select("id"), "id", "left_anti")
-    corners = zones.select(F.col("zone").alias("id"), F.explode("ring").alias("p")).select("id", "p.x", "p.y").distinct()
-    return held.union(nearest(rest, corners).select(F.col("a").alias("id"), F.col("b").alias("zone")))
+    sides = zones.select("zone", F.explode(F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1).alias("p"), F.slice("ring", 2, F.size("ring") - 1).alias("q"))).alias("s"))
+    sides = sides.select(F.col("zone").alias("link_id"), F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"))
+    box = rest.select("x", "y").union(sides.select("x1", "y1")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    extent, radius, out = math.hypot(box[0] or 0.0, box[1] or 0.0) + size, size, held
+    while not rest.isEmpty():
+        near = stops_near_links(rest.select("id", "x", "y"), sides, radius).groupBy("id").agg(F.min(F.struct(F.round("distance", 9).alias("d"), F.col("link_id").alias("zone"))).alias("m"))
+        out = out.union(near.select("id", "m.zone"))
+        if radius >= extent:
+            break
+        rest, radius = rest.join(near.select("id"), "id", "left_anti"), 2 * radius
+    return out
 
 
 def length(points: Column) -> Column:
@@ -196,10 +208,17 @@ def convex_hull(points: DataFrame) -> list[tuple[float, float]]:
 
 
 def crossing(segments: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
-    """(link_id, kind) of segments(link_id, x1, y1, x2, y2) against one polygon: inside, outside, or crossing (one end in)."""
+    """(link_id, kind) of segments(link_id, x1, y1, x2, y2) against one polygon: inside, outside, or crossing (it meets the border, also where
+    both ends are on one side of it)."""
     points = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring])
-    a, b = inside_ring(F.col("x1"), F.col("y1"), points), inside_ring(F.col("x2"), F.col("y2"), points)
-    return segments.select("link_id", F.when(a & b, "inside").when(a | b, "crossing").otherwise("outside").alias("kind"))
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    a, b = inside_ring(x1, y1, points), inside_ring(x2, y2, points)
+    meets = F.lit(False)
+    for (px, py), (qx, qy) in zip(ring, ring[1:], strict=False):
+        side = lambda x, y: (qx - px) * (y - py) - (qy - py) * (x - px)  # noqa: B023, E731
+        other = lambda x, y: (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+        meets = meets | ((side(x1, y1) * side(x2, y2) <= 0) & (other(F.lit(px), F.lit(py)) * other(F.lit(qx), F.lit(qy)) <= 0))
+    return segments.select("link_id", F.when(meets, "crossing").when(a & b, "inside").otherwise("outside").alias("kind"))
 
 
 def mode_connectors(zones: DataFrame, nodes: DataFrame, modes: list[str], k: int = 1) -> DataFrame:

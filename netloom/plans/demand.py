@@ -162,11 +162,11 @@ def gravity_calibrate(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(report, "iteration int, parameter double, mean_cost double").withColumn("beta", F.lit(model.beta))
 
 
-#: All loopless routes of up to four links between zones 1 to 6 and 7 to 12.
+#: All loopless routes of up to four links.
 ROUTES_SQL = f"""WITH RECURSIVE {D.LINKS_SQL}, {D.TRIPS_SQL}, w AS (
-  SELECT tail AS origin, head AS node, [link_id * direction] AS route, [tail, head] AS seen FROM edges WHERE tail <= 6
+  SELECT tail AS origin, head AS node, [link_id * direction] AS route, [tail, head] AS seen FROM edges
   UNION ALL SELECT w.origin, e.head, list_append(w.route, e.link_id * e.direction), list_append(w.seen, e.head) FROM w JOIN edges e ON e.tail = w.node WHERE len(w.route) < 4 AND NOT list_contains(w.seen, e.head)
-), routes AS (SELECT origin, node AS destination, route, array_to_string(route, ',') AS key FROM w WHERE node BETWEEN 7 AND 12),
+), routes AS (SELECT origin, node AS destination, route, array_to_string(route, ',') AS key FROM w),
 steps AS (SELECT origin, destination, key, unnest(route) AS link FROM routes), costs AS (SELECT link_id * direction AS link, distance / 20 AS t FROM edges),
 full_routes AS (SELECT s.origin, s.destination, s.key, sum(t) AS cost FROM steps s JOIN costs USING (link) GROUP BY ALL),
 masked AS (SELECT *, cost <= min(cost) OVER (PARTITION BY origin, destination) + ln(0.95 / (1 - 0.95)) AS mask, min(cost) OVER (PARTITION BY origin, destination) AS least FROM full_routes),
@@ -180,12 +180,13 @@ prob AS (SELECT *, wt / sum(wt) OVER (PARTITION BY origin, destination) AS p FRO
 def enumerated(spark: SparkSession, d: str) -> DataFrame:
     """All loopless routes of up to four links, by joins."""
     e = edges(spark, d).select("tail", "head", (F.col("link_id") * F.col("direction")).alias("link"))
-    now = e.where("tail <= 6").select(F.col("tail").alias("origin"), F.col("head").alias("node"), F.array("link").alias("route"), F.array("tail", "head").alias("seen"))
+    now = e.select(F.col("tail").alias("origin"), F.col("head").alias("node"), F.array("link").alias("route"), F.array("tail", "head").alias("seen"))
     out = now
     for _ in range(3):
-        now = now.join(F.broadcast(e), F.col("node") == F.col("tail")).where(~F.array_contains("seen", F.col("head"))).select("origin", F.col("head").alias("node"), F.concat("route", F.array("link")).alias("route"), F.concat("seen", F.array("head")).alias("seen"))
+        now = now.join(e, F.col("node") == F.col("tail")).where(~F.array_contains("seen", F.col("head"))).select("origin", F.col("head").alias("node"), F.concat("route", F.array("link")).alias("route"), F.concat("seen", F.array("head")).alias("seen"))
         out = out.union(now)
-    return out.where("node between 7 and 12").select("origin", F.col("node").alias("destination"), "route")
+    G.checkpoints(spark)  # several queries' parts read the routes: they are written once
+    return out.select("origin", F.col("node").alias("destination"), "route").checkpoint()
 
 
 def psl(spark: SparkSession, d: str) -> DataFrame:
@@ -261,17 +262,18 @@ def sub_area_demand(spark: SparkSession, d: str) -> DataFrame:
     return RC.sub_area(*loaded(spark, d), "trips", e, inside).select("origin", "destination", F.round("volume", 4).alias("volume"))
 
 
-def _some_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return D.zones(spark, d).where("zone <= 6").select(F.col("zone").alias("origin"), (F.col("zone") + 12).alias("destination"))
+def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    z = D.zones(spark, d)
+    return z.select(F.col("zone").alias("origin")).join(z.select(F.col("zone").alias("destination")), F.col("origin") != F.col("destination"))
 
 
 @query()
 def bfsle_routes(spark: SparkSession, d: str) -> DataFrame:
-    return RC.route_sets(spark, graph(spark, d), _some_pairs(spark, d), "bfsle", max_routes=5, max_depth=3)
+    return RC.route_sets(spark, graph(spark, d), _all_pairs(spark, d), "bfsle", max_routes=5, max_depth=3)
 
 
 @query()
 def link_penalisation_routes(spark: SparkSession, d: str) -> DataFrame:
-    return RC.route_sets(spark, graph(spark, d), _some_pairs(spark, d), "link-penalisation", max_routes=4, max_depth=30, penalty=1.1)
+    return RC.route_sets(spark, graph(spark, d), _all_pairs(spark, d), "link-penalisation", max_routes=4, max_depth=30, penalty=1.1)
 
 

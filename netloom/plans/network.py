@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import assignment as A
 from netloom.operators import graph as G
+from netloom.operators import outcomes as O
 from netloom.plans.registry import query
 from netloom.sources import derived as D
 
@@ -231,33 +232,71 @@ def msa_2_iterations(spark: SparkSession, d: str) -> DataFrame:
     return found.to_df(spark).select("link_id", "direction", *r6("flow"))
 
 
-@query(f"""{_flows("sum(trips) / 100.0 AS v")}, e AS (SELECT e.*, coalesce(v, 0) AS v, free_flow_time * (1 + 0.15 * pow(coalesce(v, 0) / capacity, 4)) AS t FROM edges e LEFT JOIN f ON e.link_id = f.link_id AND e.direction = f.direction)
-SELECT link_id, round(max(v / capacity), 6) AS voc_max, round(max(t / free_flow_time), 6) AS delay_max, round(sum(v * t), 6) AS vht FROM e GROUP BY link_id""")
-def result_pivot_voc_delay(spark: SparkSession, d: str) -> DataFrame:
+#: Demand is divided by a number that keeps shares of capacity off the ties of a sixth decimal.
+_OFF = 101.37
+_EDGE_FLOWS = f"""{_flows(f"sum(trips) / CAST({_OFF} AS DOUBLE) AS v")}, e AS (SELECT e.*, coalesce(v, 0) AS v, free_flow_time * (1 + 0.15 * pow(coalesce(v, 0) / capacity, 4)) AS t, CAST(e.link_id % 7 AS DOUBLE) AS p
+  FROM edges e LEFT JOIN f ON e.link_id = f.link_id AND e.direction = f.direction)"""
+
+
+def edge_flows(spark: SparkSession, d: str) -> DataFrame:
     from netloom.functions.vdf import vdf
 
-    flows = A.all_or_nothing(spark, graph(spark, d), D.demand(spark, d, 100.0), ["trips"])
-    e = edges(spark, d).join(flows.select("link_id", "direction", F.col("trips").alias("v")), ["link_id", "direction"], "left").fillna(0.0, ["v"])
-    e = e.withColumn("t", vdf("bpr").value(F.col("v"), F.col("capacity"), F.col("free_flow_time"), 0.15, 4.0))
-    return e.groupBy("link_id").agg(F.round(F.max(F.col("v") / F.col("capacity")), 6).alias("voc_max"), F.round(F.max(F.col("t") / F.col("free_flow_time")), 6).alias("delay_max"), F.round(F.sum(F.col("v") * F.col("t")), 6).alias("vht"))
+    flows = A.all_or_nothing(spark, graph(spark, d), D.demand(spark, d), ["trips"])
+    e = edges(spark, d).join(flows.select("link_id", "direction", (F.col("trips") / F.lit(_OFF)).alias("pce")), ["link_id", "direction"], "left").fillna(0.0, ["pce"])
+    e = e.withColumn("time", vdf("bpr").value(F.col("pce"), F.col("capacity"), F.col("free_flow_time"), 0.15, 4.0))
+    return e.withColumn("free_time", F.col("free_flow_time")).withColumn("preload", (F.col("link_id") % 7).cast("double"))
 
 
-@query(f"""{_flows("sum(trips) / 100.0 AS v")}, x AS (SELECT e.link_id, e.direction, coalesce(v, 0) AS v, free_flow_time AS t, free_flow_time * (1 + 0.15 * pow(coalesce(v, 0) / capacity, 4)) AS t1 FROM edges e LEFT JOIN f ON e.link_id = f.link_id AND e.direction = f.direction)
-SELECT round(abs(sum(t1 * v) - sum(t * v)) / sum(t1 * v), 6) AS rgap FROM x""")
-def relative_gap(spark: SparkSession, d: str) -> DataFrame:
-    from netloom.functions.vdf import vdf
+def _pivot(column: str, name: str, both: str) -> str:
+    ab, ba = (f"max(CASE WHEN direction = {way} THEN {column} END)" for way in (1, -1))
+    one = f"coalesce({ab}, 0) + coalesce({ba}, 0)" if both == "tot" else f"greatest({ab}, {ba})"
+    return f"round({ab}, 6) AS {name}_AB, round({ba}, 6) AS {name}_BA, round({one}, 6) AS {name}_{both}"
+
+
+@query(f"""{_EDGE_FLOWS} SELECT link_id, {_pivot("p", "Preload", "tot")}, {_pivot("t", "Congested_Time", "Max")}, {_pivot("t / free_flow_time", "Delay_factor", "Max")}, {_pivot("v / capacity", "VOC", "max")}, {_pivot("v", "PCE", "tot")} FROM e GROUP BY link_id""")
+def result_pivot_voc_delay(spark: SparkSession, d: str) -> DataFrame:
+    out = O.link_outcomes(edge_flows(spark, d))
+    return out.select("link_id", *r6(*out.columns[1:]))
+
 
-    flows = A.all_or_nothing(spark, graph(spark, d), D.demand(spark, d, 100.0), ["trips"])
-    e = edges(spark, d).join(flows.select("link_id", "direction", F.col("trips").alias("v")), ["link_id", "direction"])
-    t1 = vdf("bpr").value(F.col("v"), F.col("capacity"), F.col("free_flow_time"), 0.15, 4.0)
-    return e.agg(F.round(F.abs(F.sum(t1 * F.col("v")) - F.sum(F.col("free_flow_time") * F.col("v"))) / F.sum(t1 * F.col("v")), 6).alias("rgap"))
+@query(f"""{_EDGE_FLOWS}, x AS (SELECT link_id, round(sum(CASE WHEN direction = 1 THEN v ELSE 0 END), 6) AS pce_ab, round(sum(CASE WHEN direction = -1 THEN v ELSE 0 END), 6) AS pce_ba, round(sum(v), 6) AS pce_tot FROM e GROUP BY link_id) SELECT * FROM x WHERE pce_tot > 0""")
+def results_without_zero_flows(spark: SparkSession, d: str) -> DataFrame:
+    return O.class_flows(edge_flows(spark, d), ["pce"]).where("pce_tot > 0").select("link_id", *r6("pce_ab", "pce_ba", "pce_tot"))
+
+
+@query(f"""{FLOWS_SQL}, {_SETS_SQL} SELECT origin, destination, round(sum(CASE WHEN s = 'east' THEN trips ELSE 0 END), 6) AS east_trips, round(sum(CASE WHEN s = 'west' THEN trips ELSE 0 END), 6) AS west_trips FROM hit JOIN od USING (origin, destination) GROUP BY ALL""")
+def select_link_matrices(spark: SparkSession, d: str) -> DataFrame:
+    od, _ = A.select_link(spark, graph(spark, d), D.demand(spark, d), ["trips"], _SETS)
+    return O.select_link_cores(od, ["trips"]).select("origin", "destination", *r6("east_trips", "west_trips"))
+
+
+@query(f"""{FLOWS_SQL}, {_SETS_SQL}, v AS (SELECT s, link_id, direction, sum(trips) AS v FROM hit JOIN od USING (origin, destination) JOIN walk USING (origin, destination) GROUP BY ALL)
+SELECT link_id, {", ".join(f"round(sum(CASE WHEN s = '{s}' AND direction IN ({ways}) THEN v ELSE 0 END), 6) AS {s}_trips_{side}" for s in ("east", "west") for ways, side in (("1", "ab"), ("-1", "ba"), ("1, -1", "tot")))} FROM v GROUP BY link_id""")
+def select_link_table(spark: SparkSession, d: str) -> DataFrame:
+    _, flows = A.select_link(spark, graph(spark, d), D.demand(spark, d), ["trips"], _SETS)
+    out = O.select_link_flows(flows, ["trips"])
+    return out.select("link_id", *r6(*out.columns[1:]))
+
+
+@query(f"""WITH {D.LINKS_SQL}, {labels_sql("sp")}, {labels_sql("q", cost="free_flow_time")} SELECT origin, node AS destination, round(sp.cost, 6) AS cost_final, round(0.5 * (sp.cost + q.cost), 6) AS cost_blended FROM sp JOIN q USING (origin, node)""")
+def skims_final_and_blended(spark: SparkSession, d: str) -> DataFrame:
+    final = G.skims(spark, graph(spark, d), D.zones(spark, d), [])
+    first = G.skims(spark, G.arrays(edges(spark, d), D.zones(spark, d), "free_flow_time"), D.zones(spark, d), [])
+    return O.all_skims(final, O.blend(first, final, 0.5), "all").select("origin", "destination", *r6("cost_final", "cost_blended"))
+
+
+@query(f"""{_flows(f"sum(trips) / CAST({_OFF} AS DOUBLE) AS v")}, x AS (SELECT e.link_id, e.direction, v, free_flow_time AS t, free_flow_time * (1 + 0.15 * pow(v / capacity, 4)) AS t1, v * (0.7 + 0.1 * (e.link_id % 3)) AS y FROM edges e JOIN f ON e.link_id = f.link_id AND e.direction = f.direction)
+SELECT round(abs(sum(t1 * v) - sum(t1 * y)) / sum(t1 * v), 6) AS rgap FROM x""")
+def relative_gap(spark: SparkSession, d: str) -> DataFrame:
+    e = edge_flows(spark, d).where("pce > 0").withColumn("flow", F.col("pce")).withColumn("best", F.col("pce") * (0.7 + 0.1 * (F.col("link_id") % 3)))
+    return A.relative_gap(e).select(*r6("rgap"))
 
 
 @query(f"WITH {D.LINKS_SQL} SELECT e.link_id, CAST(e.direction AS BIGINT) AS direction, CAST(CASE WHEN e.link_id % 4 = 0 THEN e.link_id * 2.5 ELSE 0 END AS DOUBLE) AS preload FROM edges e")
 def preload_merge(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
     preload = e.where("link_id % 4 = 0").select("link_id", "direction", (F.col("link_id") * 2.5).alias("preload"))
-    return e.select("link_id", "direction").join(preload, ["link_id", "direction"], "left").select("link_id", F.col("direction").cast("long").alias("direction"), F.coalesce("preload", F.lit(0.0)).alias("preload"))
+    return A.merged_preload(e, preload).select("link_id", F.col("direction").cast("long").alias("direction"), "preload")
 
 
 _VDFS = {

@@ -134,7 +134,7 @@ def time_to_seconds(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "orders").select(k.alias("id"), C.to_seconds(F.format_string("%02d:%02d:%02d", k % 27, k % 60, k % 53)).alias("seconds"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN s // 86400 = 0 THEN '' WHEN s // 86400 = 1 THEN '1 day, ' ELSE (s // 86400) || ' days, ' END || lpad(CAST(s % 86400 // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT o_orderkey, o_orderkey * 7 % 200000 AS s FROM orders)")
+@query("SELECT o_orderkey AS id, CASE WHEN s // 86400 = 0 THEN '' WHEN s // 86400 = 1 THEN '1 day, ' ELSE (s // 86400) || ' days, ' END || CAST(s % 86400 // 3600 AS VARCHAR) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT o_orderkey, o_orderkey * 7 % 200000 AS s FROM orders)")
 def time_string(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.to_time_string(F.col("o_orderkey") * 7 % 200000).alias("clock"))
 
@@ -181,13 +181,13 @@ def gmns_export_rows(spark: SparkSession, d: str) -> DataFrame:
     return N.exported_rows(D.links(spark, d)).select("link_id", "from_node_id", "to_node_id", *r6("length"), "dir_flag")
 
 
-@query("""WITH w AS (SELECT o_orderkey AS way, list(l_partkey ORDER BY l_linenumber, l_partkey) AS nodes FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 40 = 0 GROUP BY 1),
+@query("""WITH w AS (SELECT o_orderkey AS way, list(l_partkey ORDER BY l_linenumber, l_partkey) AS nodes FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
 e AS (SELECT way, unnest(nodes) AS node, unnest(range(len(nodes))) AS p, len(nodes) AS n FROM w), c AS (SELECT node FROM e GROUP BY node HAVING count(*) > 1),
 m AS (SELECT e.*, node IN (SELECT node FROM c) AND p > 0 AND p < n - 1 AS cut FROM e), s AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY way ORDER BY p) AS seg FROM m),
 a AS (SELECT way, p, node, seg FROM s UNION ALL SELECT way, p, node, seg - 1 FROM s WHERE cut)
 SELECT way, CAST(seg AS BIGINT) AS seg, string_agg(CAST(node AS VARCHAR), ',' ORDER BY p) AS nodes FROM a GROUP BY way, seg""")
 def osm_split_ways(spark: SparkSession, d: str) -> DataFrame:
-    li = D.table(spark, d, "lineitem").where("l_orderkey % 40 = 0")
+    li = D.table(spark, d, "lineitem")
     ways = li.groupBy(F.col("l_orderkey").alias("way")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("nodes"))
     return N.split_ways(ways).select("way", "seg", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
 
@@ -240,7 +240,7 @@ def match_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Patterns of four stops by part key on a grid of roads, some with a shape."""
     from netloom.operators import map_matching as MM
 
-    p = D.table(spark, d, "part").where("p_partkey <= 24").select("p_partkey", "p_size")
+    p = D.table(spark, d, "part").select("p_partkey", "p_size")
     stop = lambda k: F.struct(((F.col("p_partkey") * 37 + 130 * k) % 500).cast("double").alias("x"), ((F.col("p_size") * 13 + 70 * k) % 520).cast("double").alias("y"))
     stops = F.array(*[stop(k) for k in range(4)])
     patterns = p.select(F.col("p_partkey").alias("pattern"), stops.alias("stops"), F.when(F.col("p_partkey") % 2 == 0, stops).alias("shape"), F.lit("b").alias("mode"))
@@ -257,9 +257,22 @@ def spread_connectors(spark: SparkSession, d: str) -> DataFrame:
     return MM.spread(spark.range(10).select(F.col("id").alias("zone"), F.lit(3).alias("target")), c)
 
 
-@query(f"{POINTS}, {SEG_SQL}, s AS (SELECT link_id, x1 > 200.5 AND x1 < 700.5 AND y1 > 150.5 AND y1 < 650.5 AS a, x2 > 200.5 AND x2 < 700.5 AND y2 > 150.5 AND y2 < 650.5 AS b FROM seg) SELECT link_id, CASE WHEN a AND b THEN 'inside' WHEN a OR b THEN 'crossing' ELSE 'outside' END AS kind FROM s")
+#: A segment meets the box where its part within the x range and its part within the y range overlap.
+_BOX_SQL = """s AS (SELECT link_id, x1, y1, x2, y2, x1 > 200.5 AND x1 < 300.5 AND y1 > 150.5 AND y1 < 650.5 AS a, x2 > 200.5 AND x2 < 300.5 AND y2 > 150.5 AND y2 < 650.5 AS b,
+  (200.5 - x1) / (x2 - x1) AS tx0, (300.5 - x1) / (x2 - x1) AS tx1, CASE WHEN y2 = y1 THEN CASE WHEN y1 > 150.5 AND y1 < 650.5 THEN -9 ELSE 9 END ELSE (150.5 - y1) / (y2 - y1) END AS ty0,
+  CASE WHEN y2 = y1 THEN 9 ELSE (650.5 - y1) / (y2 - y1) END AS ty1 FROM seg)"""
+
+
+@query(f"{POINTS}, {SEG_SQL.replace('x + 40', 'x + 400')}, {_BOX_SQL} SELECT link_id, CASE WHEN a AND b THEN 'inside' WHEN greatest(0, tx0, least(ty0, ty1)) <= least(1, tx1, greatest(ty0, ty1)) THEN 'crossing' ELSE 'outside' END AS kind FROM s")
 def crossing_links(spark: SparkSession, d: str) -> DataFrame:
-    return P.crossing(_segments(spark, d), [(200.5, 150.5), (700.5, 150.5), (700.5, 650.5), (200.5, 650.5), (200.5, 150.5)])
+    return P.crossing(_segments(spark, d).withColumn("x2", F.col("x1") + 400), [(200.5, 150.5), (300.5, 150.5), (300.5, 650.5), (200.5, 650.5), (200.5, 150.5)])
+
+
+@query(f"""{POINTS}, z AS (SELECT k + 1 AS zone, (k % 5) * 100 + 0.37 AS x0, (k // 5) * 100 + 0.41 AS y0 FROM (SELECT unnest(range(25)) AS k)),
+r AS (SELECT id, zone, sqrt(pow(greatest(x0 - x, 0, x - x0 - 100), 2) + pow(greatest(y0 - y, 0, y - y0 - 100), 2)) AS dist FROM cus CROSS JOIN z)
+SELECT id, CAST(arg_min(zone, (dist, zone)) AS BIGINT) AS zone FROM (SELECT id, zone, round(dist, 9) AS dist FROM r) GROUP BY id""")
+def closest_zone(spark: SparkSession, d: str) -> DataFrame:
+    return P.closest_zone(cus(spark, d), _squares(spark), 100.0)
 
 
 @query(f"{POINTS}, m AS (SELECT id, x, y, CASE id % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'w' ELSE 'cw' END AS modes FROM cus), k AS (SELECT unnest(['c', 'w']) AS mode), r AS (SELECT a.id AS zone, b.id AS node, mode, {DIST} AS dist, row_number() OVER (PARTITION BY a.id, mode ORDER BY {DIST}, b.id) AS rk FROM sup a CROSS JOIN m b JOIN k ON contains(b.modes, mode)) SELECT zone, node, round(min(dist), 6) AS distance, string_agg(mode, '' ORDER BY mode) AS modes FROM r WHERE rk = 1 GROUP BY zone, node")
@@ -268,7 +281,7 @@ def mode_connectors(spark: SparkSession, d: str) -> DataFrame:
     return P.mode_connectors(sup(spark, d), nodes, ["c", "w"]).select("zone", "node", *r6("distance"), "modes")
 
 
-@query("""WITH j AS (SELECT o_orderkey AS trip, o_orderkey % 5 AS pattern, CAST(o_orderkey * 617 % 86400 AS INTEGER) AS start, CAST(o_orderkey % 3 AS INTEGER) AS f FROM orders WHERE o_orderkey % 20 = 0),
+@query("""WITH j AS (SELECT o_orderkey AS trip, o_orderkey % 5 AS pattern, CAST(o_orderkey * 617 % 86400 AS INTEGER) AS start, CAST(o_orderkey % 3 AS INTEGER) AS f FROM orders),
 p AS (SELECT p AS pattern, CAST(s AS INTEGER) AS seq, p * 10 + s AS stop, 300 * s AS arr, 300 * s + 30 AS dep FROM (SELECT unnest(range(5)) AS p) CROSS JOIN (SELECT unnest(range(7)) AS s)),
 t AS (SELECT j.pattern, trip, seq - f AS seq, stop, (start + arr - (300 * f + 30)) AS a, (start + dep - (300 * f + 30)) AS d FROM j JOIN p ON j.pattern = p.pattern AND seq BETWEEN f AND 6)
 SELECT pattern, trip, CAST(seq AS INTEGER) AS seq, stop, CAST(a AS INTEGER) AS arrival, CAST(d AS INTEGER) AS departure FROM t""")
@@ -276,6 +289,6 @@ def visum_schedule(spark: SparkSession, d: str) -> DataFrame:
     from netloom.sources.networks import visum_schedule as schedule
 
     k = F.col("o_orderkey")
-    j = D.table(spark, d, "orders").where("o_orderkey % 20 = 0").select(k.alias("trip"), (k % 5).alias("pattern"), (k * 617 % 86400).alias("dep"), (k % 3).cast("int").alias("from_seq"), F.lit(6).alias("to_seq"))
+    j = D.table(spark, d, "orders").select(k.alias("trip"), (k % 5).alias("pattern"), (k * 617 % 86400).alias("dep"), (k % 3).cast("int").alias("from_seq"), F.lit(6).alias("to_seq"))
     p = spark.range(5).select(F.col("id").alias("pattern"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("seq")).select("pattern", "seq", (F.col("pattern") * 10 + F.col("seq")).alias("stop"), (300 * F.col("seq")).alias("arr"), (300 * F.col("seq") + 30).alias("dep"))
     return schedule(j, p)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.functions.scalars import to_seconds, to_time_string
+from netloom.functions.scalars import to_seconds, to_feed_time
 from netloom.operators import timetable as T
 
 # The columns that are read of each table of a feed.
@@ -89,4 +89,4 @@ def write_feed(schedule: DataFrame, stops: DataFrame, folder: str) -> None:
     route = F.split_part("pattern", F.lit("|"), F.lit(1))
     put(schedule.select(route.alias("route_id")).distinct().withColumn("route_type", F.lit(3)), "routes")
     put(schedule.select(route.alias("route_id"), F.lit("daily").alias("service_id"), F.col("trip").alias("trip_id")).distinct(), "trips")
-    put(schedule.select(F.col("trip").alias("trip_id"), to_time_string(F.col("arrival")).alias("arrival_time"), to_time_string(F.col("departure")).alias("departure_time"), F.col("stop").alias("stop_id"), F.col("seq").alias("stop_sequence")), "stop_times")
+    put(schedule.select(F.col("trip").alias("trip_id"), to_feed_time(F.col("arrival")).alias("arrival_time"), to_feed_time(F.col("departure")).alias("departure_time"), F.col("stop").alias("stop_id"), F.col("seq").alias("stop_sequence")), "stop_times")

@@ -135,9 +135,9 @@ def test_route_choice_checks(spark, sf):
     p = Q.psl(spark, sf).where("mask").groupBy("origin", "destination").agg({"probability": "sum"}).toPandas()
     assert (p["sum(probability)"].round(9) == 1).all()
     with pytest.raises(KeyError):
-        RC.load_routes(Q.psl(spark, sf), spark.createDataFrame([(1, 25, 5.0)], "origin long, destination long, trips double"), "trips")
+        RC.load_routes(Q.psl(spark, sf).where("origin <> 1"), spark.createDataFrame([(1, 25, 5.0)], "origin long, destination long, trips double"), "trips")
     with pytest.raises(ValueError):
-        RC.route_sets(spark, Q.graph(spark, sf), Q._some_pairs(spark, sf), "bfsle", colour=1)
+        RC.route_sets(spark, Q.graph(spark, sf), Q._all_pairs(spark, sf), "bfsle", colour=1)
 
 
 def test_strategies_conserve_demand(spark, sf):
