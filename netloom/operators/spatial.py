@@ -228,3 +228,72 @@ def mode_connectors(zones: DataFrame, nodes: DataFrame, modes: list[str], k: int
         found = nearest(zones, nodes.where(F.contains("modes", F.lit(m))).select("id", "x", "y"), k).select(F.col("a").alias("zone"), F.col("b").alias("node"), "distance", F.lit(m).alias("mode"))
         out = found if out is None else out.union(found)
     return out.groupBy("zone", "node").agg(F.min("distance").alias("distance"), F.array_join(F.array_sort(F.collect_set("mode")), "").alias("modes"))
+
+
+#: Fixed value: connectors' link type. Links that no connector may end at: motorways by type, or by a capacity of so many vehicles.
+MOTORWAY, MOTORWAY_CAPACITY = "(?i)motorway|freeway|autobahn", 50_000.0
+
+
+def eligible_nodes(nodes: DataFrame, links: DataFrame, mode: str | None = None, types: list[str] | None = None, motorways: bool = True) -> DataFrame:
+    """Nodes of nodes(id, ..) at a link(a_node, b_node, modes, link_type, capacity) that has the mode and one of the types, and, without
+    motorways, at no motorway."""
+    allowed = links if mode is None else links.where(F.contains("modes", F.lit(mode)))
+    allowed = allowed if types is None else allowed.where(F.col("link_type").isin(types))
+    ends = lambda rows: rows.select(F.explode(F.array("a_node", "b_node")).alias("id")).distinct()
+    found = nodes.join(ends(allowed), "id", "left_semi")
+    if motorways:
+        return found
+    return found.join(ends(links.where(F.col("link_type").rlike(MOTORWAY) | (F.col("capacity") >= MOTORWAY_CAPACITY))), "id", "left_anti")
+
+
+def nearest_in_zone(zones: DataFrame, nodes: DataFrame, k: int, size: float) -> DataFrame:
+    """(zone, node, distance): the k nearest nodes(id, x, y) within each zone(zone, ring, x, y) to its centre, ties by node."""
+    held = points_in_zones(nodes, zones.select("zone", "ring"), size).join(nodes.select("id", F.col("x").alias("nx"), F.col("y").alias("ny")), "id").join(zones.select("zone", "x", "y"), "zone")
+    found = held.select("zone", F.col("id").alias("stop"), F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny")).alias("distance"))
+    return most_per_zone(found, k).select("zone", F.col("stop").alias("node"), "distance")
+
+
+def with_connectors(links: DataFrame, pairs: DataFrame, mode: str, link_type: str = "centroid_connector") -> DataFrame:
+    """Links(link_id, a_node, b_node, direction, modes, link_type, distance) with connectors for pairs(zone, node, distance): a pair that a connector
+    joins already gets the mode added to it, others become links of their own, numbered on by zone and node."""
+    old = F.col("link_type") == link_type
+    keyed = pairs.select(F.col("zone").alias("a_node"), F.col("node").alias("b_node"), F.col("distance").alias("__d")).dropDuplicates(["a_node", "b_node"])
+    more = F.array_join(F.array_sort(F.array_distinct(F.split(F.concat("modes", F.lit(mode)), ""))), "")
+    kept = links.join(keyed, ["a_node", "b_node"], "left").withColumn("modes", F.when(old & F.col("__d").isNotNull(), more).otherwise(F.col("modes"))).select(links.columns)
+    new = keyed.join(links.where(old).select("a_node", "b_node"), ["a_node", "b_node"], "left_anti")
+    top = links.agg(F.max("link_id")).first()[0] or 0
+    number = (F.row_number().over(W.orderBy("a_node", "b_node")) + top).cast("long")
+    return kept.unionByName(new.select(number.alias("link_id"), "a_node", "b_node", F.lit(0).alias("direction"), F.lit(mode).alias("modes"), F.lit(link_type).alias("link_type"), F.col("__d").alias("distance")))
+
+
+def clip(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
+    """A closed ring's part within a box (Sutherland and Hodgman, 1974), closed; empty where they don't meet."""
+    points = ring[:-1] if ring and ring[0] == ring[-1] else list(ring)
+    for axis, bound, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
+        out = []
+        for k, q in enumerate(points):
+            p = points[k - 1]
+            inside_p, inside_q = sign * (p[axis] - bound) >= 0, sign * (q[axis] - bound) >= 0
+            if inside_p != inside_q:
+                t = (bound - p[axis]) / (q[axis] - p[axis])
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+            if inside_q:
+                out.append(q)
+        points = out
+    return [*points, points[0]] if len(points) > 2 else []
+
+
+def area_grid(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """An area cut into tiles of its box, ceil(sqrt(corners / 32)) a side, each clipped to the area."""
+    side = max(1, math.ceil(math.sqrt((len(ring) - 1) / 32)))
+    x0, y0, x1, y1 = min(p[0] for p in ring), min(p[1] for p in ring), max(p[0] for p in ring), max(p[1] for p in ring)
+    dx, dy = (x1 - x0) / side, (y1 - y0) / side
+    tiles = [clip(ring, (x0 + i * dx, y0 + j * dy, x0 + (i + 1) * dx, y0 + (j + 1) * dy)) for i in range(side) for j in range(side)]
+    return [t for t in tiles if t]
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of a closed ring, an array of struct(x, y)."""
+    n = F.size(ring)
+    at = lambda k: F.get(ring, k)
+    return F.abs(F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, k: acc + at(k - 1)["x"] * at(k)["y"] - at(k)["x"] * at(k - 1)["y"])) / 2

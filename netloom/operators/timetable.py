@@ -98,3 +98,21 @@ def patterns(schedule: DataFrame) -> DataFrame:
     seqs = schedule.groupBy("pattern", "trip").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "stop"))), lambda s: s["stop"]).alias("stops"))
     grouped = seqs.groupBy("pattern", "stops").agg(F.count("*").alias("trips"))
     return grouped.withColumn("hash", F.md5(F.concat(F.col("pattern"), F.array_join(F.transform("stops", lambda s: s.cast("string")), ""))))
+
+
+def stop_pairs(calls: DataFrame) -> DataFrame:
+    """(trip, seq, stop, next): consecutive stops of calls(trip, seq, stop); of a pair that a trip repeats, the first."""
+    following = F.lead("stop").over(W.partitionBy("trip").orderBy("seq"))
+    pairs = calls.select("trip", "seq", "stop", following.alias("next")).where("next is not null")
+    return pairs.withColumn("__k", F.row_number().over(W.partitionBy("trip", "stop", "next").orderBy("seq"))).where("__k = 1").drop("__k")
+
+
+def in_order(trips: DataFrame) -> DataFrame:
+    """(pattern, trip, position) of calls(pattern, trip, seq, departure): a pattern's trips by their first departure, then by name."""
+    first = trips.groupBy("pattern", "trip").agg(F.min_by("departure", "seq").alias("first"))
+    return first.select("pattern", "trip", (F.row_number().over(W.partitionBy("pattern").orderBy("first", "trip")) - 1).cast("long").alias("position"))
+
+
+def histogram(table: DataFrame, column: str) -> DataFrame:
+    """(column, n)."""
+    return table.groupBy(column).agg(F.count("*").alias("n"))

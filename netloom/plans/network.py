@@ -329,27 +329,6 @@ for _name in _VDFS:
     _vdf(_name, True)
 
 
-@query()
-def dead_end_links(spark: SparkSession, d: str) -> DataFrame:
-    """The derived network with two stubs hung on it; zones are the first five nodes."""
-    e = edges(spark, d).select("link_id", "direction", "tail", "head")
-    stubs = spark.createDataFrame([(101, 1, 8, 101), (101, -1, 101, 8), (102, 1, 101, 102), (102, -1, 102, 101), (103, 1, 103, 9)], "link_id long, direction int, tail long, head long")
-    return G.dead_ends(e.unionByName(stubs), D.zones(spark, d).where("zone <= 5"))
-
-
-@query()
-def chain_compression(spark: SparkSession, d: str) -> DataFrame:
-    links = D.links(spark, d).where("link_id % 4 <> 0")
-    return G.chains(links, D.zones(spark, d).where("zone <= 5"))
-
-
-@query()
-def compressed_cost(spark: SparkSession, d: str) -> DataFrame:
-    links = D.links(spark, d).where("link_id % 4 <> 0")
-    chain = G.chains(links, D.zones(spark, d).where("zone <= 5"))
-    return G.compressed(G.directed(links), chain, ("distance",)).select("chain", "direction", "tail", "head", *r6("distance"))
-
-
 @query()
 def congested_skims(spark: SparkSession, d: str) -> DataFrame:
     found = equilibrium(spark, d, "bfw", max_iterations=10, gap=1e-3)

@@ -21,4 +21,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from netloom.plans import demand, network, places, transit  # noqa: F401
+    from netloom.plans import demand, network, places, transit, upkeep  # noqa: F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.scalars import with_unit
 from netloom.operators import network as N
+from netloom.operators.graph import checkpoints
 
 # Transport systems and their mode letters; what connectors without values get.
 MODES = {"CAR": "c", "HGV": "h", "BIKE": "b", "WALK": "w", "PUTW": "w", "BUS": "t", "TRAM": "l", "TRAIN": "r"}
@@ -107,3 +108,73 @@ def source_connectivity(links: DataFrame, connectors: DataFrame) -> DataFrame:
     o = connectors.where("way = 'O'").select(-F.col("zone"), F.col("node"), each("modes"))
     d = connectors.where("way = 'D'").select(F.col("node"), -F.col("zone"), each("modes"))
     return ab.union(ba).union(o).union(d).distinct()
+
+
+#: Mode letters (b bike, c car, t transit, w walk) of highway types in saved extracts; other types get the default.
+HIGHWAY_MODES = {"motorway": "ct", "trunk": "ct", "primary": "bctw", "secondary": "bctw", "tertiary": "bctw", "residential": "bctw", "living_street": "bcw", "cycleway": "b", "footway": "w", "pedestrian": "w", "path": "bw", "steps": "w"}
+DEFAULT_MODES = "bctw"
+
+
+def highway_modes(links: DataFrame, mapping: dict[str, str] = HIGHWAY_MODES, default: str = DEFAULT_MODES) -> DataFrame:
+    """Links with the modes of their link type; an unknown type has the default."""
+    table = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
+    return links.withColumn("modes", F.coalesce(F.try_element_at(table, F.col("link_type")), F.lit(default)))
+
+
+def expand_uses(groups: DataFrame) -> DataFrame:
+    """(use, mode): the modes behind each use group of groups(use, part), where a part is a mode or another group; groups may nest, and a
+    group within itself adds nothing."""
+    names = groups.select("use").distinct()
+    checkpoints(groups.sparkSession)
+    now = groups.select("use", "part").distinct()
+    n = now.count()
+    while True:  # each round follows one more step; pairs are bounded by uses times parts
+        deeper = now.join(groups.select(F.col("use").alias("part"), F.col("part").alias("inner")), "part").select("use", F.col("inner").alias("part"))
+        now = now.union(deeper).distinct().checkpoint()
+        m = now.count()
+        if m == n:
+            break
+        n = m
+    return now.join(names.withColumnRenamed("use", "part"), "part", "left_anti").select("use", F.col("part").alias("mode"))
+
+
+def letters(types: DataFrame) -> DataFrame:
+    """(name, letter): a letter of its own for each of types(name): the first of its letters, lower then upper case, that no type before it (by
+    name) has, else the first free one; more than 52 types are an error."""
+    import string
+
+    names = [r[0] for r in types.select("name").distinct().orderBy("name").limit(53).collect()]
+    if len(names) > 52:
+        raise ValueError("there are more than 52 types")
+    taken: dict[str, str] = {}
+    for name in names:
+        own = [c for c in name if c in string.ascii_letters]
+        wish = [c.lower() for c in own] + [c.upper() for c in own] + list(string.ascii_letters)
+        taken[name] = next(c for c in wish if c not in taken.values())
+    return types.sparkSession.createDataFrame(sorted(taken.items()), "name string, letter string")
+
+
+def reported_systems(layer: DataFrame, mapping: dict[str, str] = MODES) -> DataFrame:
+    """(system, n): transport systems of a layer's links that the mapping doesn't know, and on how many links they stand."""
+    sets = F.split(F.upper(F.coalesce(F.try_element_at("p", F.lit("TSYSSET")), F.lit(""))), r"[,;|\s]+")
+    return layer.select(F.explode(sets).alias("system")).where(~F.col("system").isin(list(mapping)) & (F.col("system") != "")).groupBy("system").agg(F.count("*").alias("n"))
+
+
+def layer_problems(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(problem, key, severity) of links(link_id, a_node, b_node, modes, distance) and nodes(node) of an import: errors stop it, warnings don't."""
+    known = nodes.select("node")
+    ends = links.select("link_id", F.explode(F.array("a_node", "b_node")).alias("node")).join(known, "node", "left_anti")
+    rows = [
+        (links.groupBy("link_id").count().where("count > 1").select("link_id"), "repeated link", "error"),
+        (nodes.groupBy("node").count().where("count > 1").select("node"), "repeated node", "error"),
+        (ends.select("link_id").distinct(), "link without a node", "error"),
+        (links.where("coalesce(modes, '') = ''").select("link_id"), "link without a mode", "warning"),
+        (links.where("coalesce(distance, 0) <= 0").select("link_id"), "link without a length", "warning"),
+        (links.where("a_node = b_node").select("link_id"), "link to its own node", "warning"),
+        (known.join(links.select(F.explode(F.array("a_node", "b_node")).alias("node")), "node", "left_anti"), "node without a link", "warning"),
+    ]
+    out = None
+    for df, problem, severity in rows:
+        one = df.select(F.lit(problem).alias("problem"), df[df.columns[0]].cast("string").alias("key"), F.lit(severity).alias("severity"))
+        out = one if out is None else out.union(one)
+    return out
