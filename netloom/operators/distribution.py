@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.scalars import deterrence
+from netloom.operators.graph import checkpoints
 
 #: Seeds of up to so many cells are fitted in one task's arrays (one job, no shuffle for each iteration); larger ones by joins.
 CELLS_IN_TASK = 20_000_000
@@ -97,9 +98,7 @@ def ipf_step(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
 
 
 def ipf_by_joins(cells: DataFrame, rows: DataFrame, cols: DataFrame, most: int, tolerance: float) -> Fit:
-    sc = cells.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir("/tmp/checkpoints")
+    checkpoints(cells.sparkSession)
     error, k = float("inf"), 0
     for k in range(1, most + 1):
         new = ipf_step(cells, rows, cols).checkpoint()

@@ -99,12 +99,13 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return both.select("zone", "rows", (F.col("columns") * F.lit(pt / s[1].a)).alias("columns"))
 
 
-def _ipf_sql(rounds: int) -> str:
-    out = [f"WITH {D.TRIPS_SQL}, {GOALS_SQL}, x0 AS (SELECT origin, destination, trips AS v FROM od)"]
+def _ipf_sql(rounds: int, seed: str = "SELECT origin, destination, trips AS v FROM od", before: str = "", digits: int = 4) -> str:
+    """Rounds of scaling rows, then columns."""
+    out = [f"WITH {D.TRIPS_SQL}, {GOALS_SQL}{before}, x0 AS MATERIALIZED ({seed})"]
     for k in range(rounds):
         out.append(f"""r{k} AS (SELECT x.origin, x.destination, x.v * vec."rows" / sum(x.v) OVER (PARTITION BY x.origin) AS v FROM x{k} x JOIN vec ON vec.zone = x.origin)""")
-        out.append(f"""x{k + 1} AS (SELECT x.origin, x.destination, x.v * vec."columns" / sum(x.v) OVER (PARTITION BY x.destination) AS v FROM r{k} x JOIN vec ON vec.zone = x.destination)""")
-    return ", ".join(out) + f" SELECT origin, destination, round(v, 4) AS value FROM x{rounds}"
+        out.append(f"""x{k + 1} AS MATERIALIZED (SELECT x.origin, x.destination, x.v * vec."columns" / sum(x.v) OVER (PARTITION BY x.destination) AS v FROM r{k} x JOIN vec ON vec.zone = x.destination)""")
+    return ", ".join(out) + f" SELECT origin, destination, round(v, {digits}) AS value FROM x{rounds}"
 
 
 @query(_ipf_sql(3))
@@ -120,9 +121,10 @@ def ipf_by_joins(spark: SparkSession, d: str) -> DataFrame:
     return DS.ipf_by_joins(seed, rows, cols, 2, 0.0).matrix.select("origin", "destination", F.round("value", 4).alias("value"))
 
 
-@query()
+@query(_ipf_sql(40, digits=2))
 def ipf_converged(spark: SparkSession, d: str) -> DataFrame:
-    return DS.ipf(D.demand(spark, d).withColumnRenamed("trips", "value"), vectors(spark, d)).matrix
+    """Fitted until factors differ from 1 by 1e-12 at most; the SQL runs far beyond that."""
+    return DS.ipf(D.demand(spark, d).withColumnRenamed("trips", "value"), vectors(spark, d), tolerance=1e-12).matrix.select("origin", "destination", F.round("value", 2).alias("value"))
 
 
 def impedance(spark: SparkSession, d: str) -> DataFrame:
@@ -148,18 +150,21 @@ for _n in _GRAVITY:
     _gravity(_n)
 
 
-@query()
+@query(_ipf_sql(60, """SELECT sp.origin, sp.node AS destination, p."rows" * a."columns" * exp(-0.05 * cost) AS v FROM sp JOIN vec p ON p.zone = sp.origin JOIN vec a ON a.zone = sp.node WHERE sp.origin <> sp.node""", f", {D.LINKS_SQL}, {labels_sql()}", 2))
 def gravity_apply(spark: SparkSession, d: str) -> DataFrame:
-    return DS.gravity(impedance(spark, d), vectors(spark, d), _GRAVITY["expo"][0]).matrix
+    return DS.gravity(impedance(spark, d), vectors(spark, d), _GRAVITY["expo"][0], tolerance=1e-12).matrix.select("origin", "destination", F.round("value", 2).alias("value"))
 
 
-@query()
+@query("SELECT 'EXPO' AS function, CAST(0.05 AS DOUBLE) AS parameter UNION ALL SELECT 'POWER', 1.2")
 def gravity_calibrate(spark: SparkSession, d: str) -> DataFrame:
-    """Recovers the parameter of trips that a model with beta 0.05 has made."""
-    cost, v = impedance(spark, d).persist(), vectors(spark, d)
-    made = DS.gravity(cost, v, _GRAVITY["expo"][0]).matrix
-    model, report = DS.calibrate(made, cost, "EXPO", max_iterations=12)
-    return spark.createDataFrame(report, "iteration int, parameter double, mean_cost double").withColumn("beta", F.lit(model.beta))
+    """Recovers the parameters of trips that models with known ones have made."""
+    cost, v, out = impedance(spark, d).persist(), vectors(spark, d), []
+    for name in ("expo", "power"):
+        made = DS.gravity(cost, v, _GRAVITY[name][0]).matrix
+        model, _ = DS.calibrate(made, cost, name, max_iterations=20, tolerance=1e-6)
+        out.append((model.function, round(model.beta if name == "expo" else model.alpha, 3)))
+    cost.unpersist()
+    return spark.createDataFrame(out, "function string, parameter double")
 
 
 #: All loopless routes of up to four links.

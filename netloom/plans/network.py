@@ -340,7 +340,39 @@ def class_info(spark: SparkSession, d: str) -> DataFrame:
     return A.class_info(D.demand(spark, d), [A.TrafficClass("car", "trips", 1.5, 10.0)]).select("class", "pce", "vot", *r6("total"))
 
 
-@query()
+#: A triangle of zones is Delaunay if its circle holds no other zone; its turn says on which side the determinant is inside.
+DELAUNAY_SQL = """pts AS (SELECT n_nationkey + 1 AS z, CAST((pow(n_nationkey, 3) * 31 + n_nationkey * 17) % 1009 AS DOUBLE) AS x, CAST((pow(n_nationkey, 2) * 29 + n_nationkey * 53) % 1013 AS DOUBLE) AS y FROM nation),
+tri AS (SELECT a.z AS a, b.z AS b, c.z AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, sign((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS turn FROM pts a JOIN pts b ON a.z < b.z JOIN pts c ON b.z < c.z),
+held AS (SELECT DISTINCT t.a, t.b, t.c FROM tri t JOIN pts d ON d.z NOT IN (t.a, t.b, t.c) WHERE turn <> 0 AND turn * (
+  (ax - x) * ((by_ - y) * (pow(cx - x, 2) + pow(cy - y, 2)) - (cy - y) * (pow(bx - x, 2) + pow(by_ - y, 2))) - (ay - y) * ((bx - x) * (pow(cx - x, 2) + pow(cy - y, 2)) - (cx - x) * (pow(bx - x, 2) + pow(by_ - y, 2)))
+  + (pow(ax - x, 2) + pow(ay - y, 2)) * ((bx - x) * (cy - y) - (cx - x) * (by_ - y))) > 0),
+good AS (SELECT a, b, c FROM tri WHERE turn <> 0 EXCEPT SELECT a, b, c FROM held),
+dl AS (SELECT row_number() OVER (ORDER BY a_node, b_node) AS link_id, * FROM (SELECT a AS a_node, b AS b_node FROM good UNION SELECT b, c FROM good UNION SELECT a, c FROM good)),
+dd AS (SELECT link_id, a_node, b_node, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS distance FROM dl JOIN pts p ON p.z = a_node JOIN pts q ON q.z = b_node),
+de AS (SELECT link_id, 1 AS direction, a_node AS tail, b_node AS head, distance FROM dd UNION ALL SELECT link_id, -1, b_node, a_node, distance FROM dd)"""
+
+
+def scattered(spark: SparkSession, d: str) -> DataFrame:
+    """id, x, y: nations spread so that no two paths between them are of one length."""
+    k = F.col("n_nationkey").cast("long")
+    return D.table(spark, d, "nation").select((k + 1).alias("id"), ((k * k * k * 31 + k * 17) % 1009).cast("double").alias("x"), ((k * k * 29 + k * 53) % 1013).cast("double").alias("y"))
+
+
+@query(f"""WITH RECURSIVE {DELAUNAY_SQL}, {D.TRIPS_SQL}, {labels_sql("sp", "de")}, {WALK_SQL}, f AS (SELECT link_id, sum(trips) AS v FROM walk JOIN od USING (origin, destination) GROUP BY link_id)
+SELECT a_node, b_node, round(distance, 6) AS distance, round(coalesce(v, 0), 6) AS flow FROM dd LEFT JOIN f USING (link_id)""")
 def delaunay_assignment(spark: SparkSession, d: str) -> DataFrame:
-    z = D.points(spark, d, "nation", "n_nationkey").select((F.col("id") + 1).alias("zone"), "x", "y")
-    return A.delaunay_assignment(spark, z, D.demand(spark, d), "trips")
+    z = scattered(spark, d).select(F.col("id").alias("zone"), "x", "y")
+    return A.delaunay_assignment(spark, z, D.demand(spark, d), "trips").select("a_node", "b_node", *r6("distance", "flow"))
+
+
+@query(f"""WITH {D.TRIPS_SQL}, n AS (SELECT 15241.35 / sum(trips) AS s FROM od), o AS (SELECT origin AS zone, sum(trips) AS v FROM od GROUP BY 1), i AS (SELECT destination AS zone, sum(trips) AS v FROM od GROUP BY 1)
+SELECT algorithm, n_nationkey + 1 AS zone, round((coalesce(o.v, 0) - coalesce(i.v, 0)) * s, 3) AS balance FROM nation CROSS JOIN n CROSS JOIN (SELECT unnest(['msa', 'fw', 'cfw', 'bfw']) AS algorithm) LEFT JOIN o ON o.zone = n_nationkey + 1 LEFT JOIN i ON i.zone = n_nationkey + 1""")
+def equilibrium_balance(spark: SparkSession, d: str) -> DataFrame:
+    """What leaves each node less what enters it, in each algorithm's flows: the node's own demand."""
+    out = None
+    for algorithm in ("msa", "fw", "cfw", "bfw"):
+        flows = equilibrium(spark, d, algorithm, max_iterations=8, gap=1e-6).to_df(spark).join(edges(spark, d), ["link_id", "direction"])
+        both = flows.select(F.col("tail").alias("zone"), F.col("car").alias("v")).union(flows.select("head", -F.col("car")))
+        one = both.groupBy("zone").agg((F.round(F.sum("v"), 3) + 0.0).alias("balance")).select(F.lit(algorithm).alias("algorithm"), "zone", "balance")
+        out = one if out is None else out.union(one)
+    return out

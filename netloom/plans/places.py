@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import scalars as C
 from netloom.operators import network as N
 from netloom.operators import spatial as P
-from netloom.plans.network import r6
+from netloom.plans.network import DELAUNAY_SQL, r6, scattered
 from netloom.plans.registry import query
 from netloom.sources import derived as D
 
@@ -213,13 +213,13 @@ def network_violations(spark: SparkSession, d: str) -> DataFrame:
     return N.violations(links, nodes, modes, spark.createDataFrame([("B",)], "link_type string"))
 
 
-@query()
+@query(f"WITH {DELAUNAY_SQL} SELECT a_node, b_node FROM dl")
 def delaunay_edges(spark: SparkSession, d: str) -> DataFrame:
     from netloom.functions.delaunay import delaunay_edges as triangulate
 
-    rows = D.points(spark, d, "nation", "n_nationkey").orderBy("id").collect()
+    rows = scattered(spark, d).orderBy("id").collect()
     found = triangulate([(r.x, r.y) for r in rows])
-    return spark.createDataFrame([(rows[i].id + 1, rows[j].id + 1) for i, j in found], "a_node long, b_node long")
+    return spark.createDataFrame([(rows[i].id, rows[j].id) for i, j in found], "a_node long, b_node long")
 
 
 def _grid(spark: SparkSession, n: int = 6) -> DataFrame:

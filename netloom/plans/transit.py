@@ -197,6 +197,38 @@ def hyperpath_volumes(spark: SparkSession, d: str) -> DataFrame:
     return X.optimal_strategies(spark, e, _demand(spark, v))[0]
 
 
+#: The four-line example of Spiess and Florian (1989): (stops, minutes, headway in minutes, first number of its nodes); and its published strategy.
+_EXAMPLE = (([0, 3], [25], 12, 10), ([0, 1, 2], [7, 6], 12, 20), ([1, 2, 3], [4, 4], 30, 30), ([2, 3], [10], 6, 40))
+_STRATEGY_SQL = "(VALUES (0, 10, 1 / 2.0), (10, 11, 1 / 2.0), (11, 3, 1 / 2.0), (0, 20, 1 / 2.0), (20, 21, 1 / 2.0), (21, 22, 1 / 2.0), (22, 23, 1 / 2.0), (23, 2, 1 / 2.0), (2, 32, 1 / 12.0), (32, 33, 1 / 12.0), (33, 3, 1 / 12.0), (2, 40, 5 / 12.0), (40, 41, 5 / 12.0), (41, 3, 5 / 12.0)) AS t(a, b, share)"
+
+
+def _example(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A copy of the example for each nation, with its customers as demand."""
+    rows = []
+    for stops, minutes, headway, base in _EXAMPLE:
+        for k, (a, b) in enumerate(zip(stops, stops[1:], strict=False)):
+            on, off = base + 2 * k, base + 2 * k + 1
+            rows += [(a, on, 0.0, 2 / (headway * 60.0)), (on, off, minutes[k] * 60.0, float("inf")), (off, b, 0.0, float("inf"))] + [(off - 2, on, 0.0, float("inf"))] * (k > 0)
+    one = spark.createDataFrame(rows, "a long, b long, time double, freq double")
+    copies = D.zones(spark, d).select((F.col("zone") * 1000).alias("at")).join(one)  # two lists of fixed length
+    edges = copies.select((F.col("at") * 10_000 + F.col("a") * 100 + F.col("b")).alias("edge"), (F.col("at") + F.col("a")).alias("tail"), (F.col("at") + F.col("b")).alias("head"), "time", "freq", F.lit("line").alias("kind"))
+    riders = D.table(spark, d, "customer").groupBy((F.col("c_nationkey") + 1).cast("long").alias("zone")).agg(F.count("*").cast("double").alias("trips"))
+    return edges, riders.select((F.col("zone") * 1000).alias("origin"), (F.col("zone") * 1000 + 3).alias("destination"), "trips")
+
+
+@query(f"WITH r AS (SELECT c_nationkey + 1 AS zone, count(*) AS n FROM customer GROUP BY 1) SELECT CAST(zone * 1000 + a AS BIGINT) AS tail, CAST(zone * 1000 + b AS BIGINT) AS head, round(n * share, 4) AS volume FROM r CROSS JOIN {_STRATEGY_SQL}")
+def strategy_volumes(spark: SparkSession, d: str) -> DataFrame:
+    edges, demand = _example(spark, d)
+    volume = X.optimal_strategies(spark, edges, demand)[0].join(edges, "edge")
+    return volume.select("tail", "head", F.round("volume", 4).alias("volume")).where("volume > 0")
+
+
+@query("SELECT CAST((c_nationkey + 1) * 1000 AS BIGINT) AS origin, CAST((c_nationkey + 1) * 1000 + 3 AS BIGINT) AS destination, CAST(1665 AS DOUBLE) AS time FROM customer GROUP BY c_nationkey")
+def strategy_times(spark: SparkSession, d: str) -> DataFrame:
+    edges, demand = _example(spark, d)
+    return X.optimal_strategies(spark, edges, demand)[1].select("origin", "destination", F.round("time", 3).alias("time"))
+
+
 @query()
 def transit_skims(spark: SparkSession, d: str) -> DataFrame:
     v, e = full_graph(spark, d)
