@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.scalars import deterrence
-from netloom.operators.graph import checkpoints
+from netloom.operators.graph import reachable_package, spread
 
-#: Seeds of up to so many cells are fitted in one task's arrays (one job, no shuffle for each iteration); larger ones by joins.
-CELLS_IN_TASK = 20_000_000
+#: Seeds of up to so many cells are fitted in one task's arrays (one job for all iterations); larger ones in place, a job an iteration.
+CELLS_IN_TASK = 1_000_000
 
 
 @dataclass
@@ -60,7 +60,7 @@ def ipf(seed: DataFrame, vectors: DataFrame, max_iterations: int = 5000, toleran
     """seed(origin, destination, value) fitted to vectors(zone, rows, columns): each iteration scales rows, then columns.
 
     NaN and null cells are zero; cells of zones whose goal is zero become zero. Cells are checked for size: up to
-    CELLS_IN_TASK they are fitted in one task's arrays, more by distributed joins, with the same result.
+    CELLS_IN_TASK they are fitted in one task's arrays, more where they lie, with the same result.
     """
     spark = seed.sparkSession
     v = check_vectors(vectors)
@@ -69,7 +69,7 @@ def ipf(seed: DataFrame, vectors: DataFrame, max_iterations: int = 5000, toleran
     rows, cols = v.select(F.col("zone").alias("origin"), F.col("rows").alias("p")).where("p > 0"), v.select(F.col("zone").alias("destination"), F.col("columns").alias("a")).where("a > 0")
     cells = cells.join(rows.select("origin"), "origin", "left_semi").join(cols.select("destination"), "destination", "left_semi").groupBy("origin", "destination").agg(F.sum("value").alias("value"))
     if cells.limit(CELLS_IN_TASK + 1).count() > CELLS_IN_TASK:
-        return ipf_by_joins(cells, rows, cols, max_iterations, tolerance)
+        return ipf_in_place(cells, rows, cols, max_iterations, tolerance)
     goals = v.toPandas()
     zone = goals["zone"].to_numpy(np.int64)
     order = np.argsort(zone)
@@ -84,29 +84,57 @@ def ipf(seed: DataFrame, vectors: DataFrame, max_iterations: int = 5000, toleran
         x, k, error = fit_arrays(o, d, pdf["value"].to_numpy(float), p, a, max_iterations, tolerance)
         yield pdf.assign(value=x, iterations=k, error=error)
 
-    out = cells.coalesce(1).mapInPandas(run, "origin long, destination long, value double, iterations int, error double").persist()
+    out = cells.repartition(1).mapInPandas(run, "origin long, destination long, value double, iterations int, error double").persist()
     info = out.select("iterations", "error").first()
     return Fit(out.select("origin", "destination", "value"), info.iterations if info else 0, info.error if info else 0.0)
 
 
-def ipf_step(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """One iteration by joins: rows(origin, p), then cols(destination, a)."""
-    sums = cells.groupBy("origin").agg(F.sum("value").alias("s")).join(rows, "origin")
-    x = cells.join(sums.select("origin", (F.col("p") / F.col("s")).alias("f")), "origin").select("origin", "destination", (F.col("value") * F.col("f")).alias("value"), "f")
-    back = x.groupBy("destination").agg(F.sum("value").alias("s")).join(cols, "destination")
-    return x.join(back.select("destination", (F.col("a") / F.col("s")).alias("h")), "destination").select("origin", "destination", (F.col("value") * F.col("h")).alias("value"), "f", "h")
+def ipf_in_place(cells: DataFrame, rows: DataFrame, cols: DataFrame, most: int, tolerance: float) -> Fit:
+    """The same by rounds over cells that stay where they are: an origin's cells lie together, so that a task scales its rows by itself and sends
+    the sums of its columns only; the driver holds a factor for each zone."""
+    spark = cells.sparkSession
+    reachable_package(spark)
+    held = spread(cells, "origin").persist()
+    p = {int(r[0]): float(r[1]) for r in rows.select("origin", "p").collect()}
+    a = {int(r[0]): float(r[1]) for r in cols.select("destination", "a").collect()}
+    goals, factor, before, error, k = spark.sparkContext.broadcast(p), dict.fromkeys(a, 1.0), {}, float("inf"), 0
 
+    def scaled(batches: Iterator[pd.DataFrame], c: dict[int, float]) -> tuple[pd.DataFrame, pd.Series] | None:
+        got = [b for b in batches if len(b)]
+        if not got:
+            return None
+        pdf = pd.concat(got, ignore_index=True)
+        x = pdf["value"] * pdf["destination"].map(c)
+        return pdf, x * pdf["origin"].map(goals.value) / x.groupby(pdf["origin"]).transform("sum")
 
-def ipf_by_joins(cells: DataFrame, rows: DataFrame, cols: DataFrame, most: int, tolerance: float) -> Fit:
-    checkpoints(cells.sparkSession)
-    error, k = float("inf"), 0
     for k in range(1, most + 1):
-        new = ipf_step(cells, rows, cols).checkpoint()
-        off = new.agg(F.max(F.greatest("f", 1 / F.col("f"), "h", 1 / F.col("h")))).first()[0]
-        cells, error = new.select("origin", "destination", "value"), (off or 1.0) - 1
+        now = spark.sparkContext.broadcast(factor)
+
+        def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            if found := scaled(batches, now.value):
+                pdf, x = found
+                by = x.groupby(pdf["destination"]).sum()
+                rest = x.groupby(pdf["origin"]).sum() / (pdf["value"] * pdf["destination"].map(now.value)).groupby(pdf["origin"]).sum()
+                yield pd.DataFrame({"kind": ["c"] * len(by) + ["r"] * len(rest), "zone": [*by.index, *rest.index], "value": [*by, *rest]})
+
+        told = held.mapInPandas(sums, "kind string, zone long, value double").toPandas()  # zones times tasks at most
+        by = told[told["kind"] == "c"].groupby("zone")["value"].sum()
+        mine = dict(told[told["kind"] == "r"][["zone", "value"]].itertuples(index=False))
+        new = {z: factor[z] * a[z] / by[z] if z in by.index else factor[z] for z in factor}
+        off = [mine[z] / before.get(z, 1.0) for z in mine] + [new[z] / factor[z] for z in new]
+        last, factor, before = factor, new, mine
+        now.unpersist()
+        error = max([max(f, 1 / f) for f in off if f > 0], default=1.0) - 1
         if error < tolerance:
             break
-    return Fit(cells, k, error)
+    final, rows_at = spark.sparkContext.broadcast(factor), spark.sparkContext.broadcast(last if k else factor)
+
+    def done(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if found := scaled(batches, rows_at.value):
+            pdf, x = found
+            yield pdf.assign(value=x * pdf["destination"].map(final.value) / pdf["destination"].map(rows_at.value))
+
+    return Fit(held.mapInPandas(done, "origin long, destination long, value double"), k, error)
 
 
 @dataclass

@@ -9,7 +9,6 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators import kernels as K
@@ -68,16 +67,32 @@ def reverse(links: DataFrame) -> DataFrame:
     return links.select(*[F.col(c).alias(names.get(c, c)) for c in links.columns])
 
 
+def numbered(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
+    """df with rows numbered from `first` in an order that has no ties: sorted ranges, each numbered on from the rows of those before it. Written
+    to the shared folder, so that a range counts the same rows when it is read again."""
+    spark = df.sparkSession
+    checkpoints(spark)
+    keys = {f"__o{k}": c if not isinstance(c, str) else F.col(c) for k, c in enumerate(order)}
+    ranged = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    rows = ranged.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__k")).checkpoint()
+    at, starts = first, []
+    for r in rows.groupBy("__p").count().orderBy("__p").collect():  # a row for each range
+        starts.append((r[0], at))
+        at += r[1]
+    offsets = spark.createDataFrame(starts, "__p int, __at long")
+    return rows.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__at") + F.col("__k")).drop("__p", "__k", "__at")
+
+
 def node_index(edges: DataFrame, zones: DataFrame) -> DataFrame:
     """(node, position, is_zone): zones first, by id, then the other nodes by id."""
     nodes = edges.select(F.col("tail").alias("node")).union(edges.select("head")).union(zones.select("zone")).distinct()
     marked = nodes.join(zones.select(F.col("zone").alias("node"), F.lit(True).alias("z")), "node", "left").withColumn("is_zone", F.coalesce("z", F.lit(False)))
-    return marked.select("node", (F.row_number().over(W.orderBy(F.desc("is_zone"), "node")) - 1).cast("long").alias("position"), "is_zone")
+    return numbered(marked.select("node", "is_zone"), [~F.col("is_zone"), "node"], "position").select("node", "position", "is_zone")
 
 
 def supernet_ids(edges: DataFrame) -> DataFrame:
     """Adds supernet_id, numbered by link and direction (forward first)."""
-    return edges.withColumn("supernet_id", (F.row_number().over(W.orderBy("link_id", F.desc("direction"))) - 1).cast("long"))
+    return numbered(edges, ["link_id", -F.col("direction")], "supernet_id")
 
 
 def exclude_links(links: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.operators.graph import numbered
+
 
 def node_modes(links: DataFrame) -> DataFrame:
     """(node, modes, link_types): distinct sorted characters of the links at a node."""
@@ -30,7 +32,7 @@ def attach_ends(lines: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     """Links of lines(link_id, x1, y1, x2, y2) with the nodes at their ends; nodes(node, x, y) gains one for each new place, numbered by x, y."""
     places = lines.select(F.col("x1").alias("x"), F.col("y1").alias("y")).union(lines.select("x2", "y2")).distinct()
     top = nodes.agg(F.max("node")).first()[0] or 0
-    new = places.join(nodes.select("x", "y"), ["x", "y"], "left_anti").select((F.row_number().over(W.orderBy("x", "y")) + top).cast("long").alias("node"), "x", "y")
+    new = numbered(places.join(nodes.select("x", "y"), ["x", "y"], "left_anti"), ["x", "y"], "node", top + 1).select("node", "x", "y")
     every = nodes.select("node", "x", "y").unionByName(new)
     a, b = (every.select(F.col("node").alias(n), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k, n in ((1, "a_node"), (2, "b_node")))
     distance = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.operators.graph import numbered
+
 
 def cell(x: Column, y: Column, size: float) -> list[Column]:
     return [F.floor(x / size).alias("cx"), F.floor(y / size).alias("cy")]
@@ -27,17 +29,18 @@ def within_radius(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).select("a", "b", d.alias("distance")).where(F.col("distance") <= radius)
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int = 1, bound: float | None = None, first: float = 32.0) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, k: int = 1, bound: float | None = None, first: float | None = None) -> DataFrame:
     """(a, b, distance, rank): the k nearest points of b for each of a, ties by id; within bound if there is one.
 
     Rounds of radius joins: a point is done once k are found within the radius; the rest go on with twice the radius, until
-    it covers the extent. A round keeps the k best of a point by a partial aggregate of each task.
+    it covers the extent. The first radius is that of a circle in which about 2 k points lie at the mean density. A round keeps the k best of a point by a partial aggregate of each task.
     """
     box = a.select("x", "y").union(b.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).first()
     n = b.count()
     if not n or box[2] == n:
         return within_radius(a, b, 1.0).limit(0).withColumn("rank", F.lit(1))
     extent = math.hypot(box[0] or 0.0, box[1] or 0.0) + 1e-9
+    first = first or max(math.sqrt(2 * k * max(box[0] or 0.0, extent / 1000) * max(box[1] or 0.0, extent / 1000) / (math.pi * n)), extent * 1e-6)
     radius, rest, out, need = min(first, bound or first), a, None, min(k, n)
     while True:
         last = radius >= min(extent, bound or extent)
@@ -262,8 +265,8 @@ def with_connectors(links: DataFrame, pairs: DataFrame, mode: str, link_type: st
     kept = links.join(keyed, ["a_node", "b_node"], "left").withColumn("modes", F.when(old & F.col("__d").isNotNull(), more).otherwise(F.col("modes"))).select(links.columns)
     new = keyed.join(links.where(old).select("a_node", "b_node"), ["a_node", "b_node"], "left_anti")
     top = links.agg(F.max("link_id")).first()[0] or 0
-    number = (F.row_number().over(W.orderBy("a_node", "b_node")) + top).cast("long")
-    return kept.unionByName(new.select(number.alias("link_id"), "a_node", "b_node", F.lit(0).alias("direction"), F.lit(mode).alias("modes"), F.lit(link_type).alias("link_type"), F.col("__d").alias("distance")))
+    new = numbered(new, ["a_node", "b_node"], "link_id", top + 1)
+    return kept.unionByName(new.select("link_id", "a_node", "b_node", F.lit(0).alias("direction"), F.lit(mode).alias("modes"), F.lit(link_type).alias("link_type"), F.col("__d").alias("distance")))
 
 
 def clip(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:

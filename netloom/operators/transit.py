@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators import kernels as K
-from netloom.operators.graph import reachable_package, spread
+from netloom.operators.graph import numbered, reachable_package, spread
 
 INFINITE = float("inf")
 #: Fixed values, in seconds: dwell at a stop's platform, penalty of alighting and transfers, stop time between segments; metres a second on foot.
@@ -33,8 +32,7 @@ def vertices(segments: DataFrame, stops: DataFrame, zones: DataFrame) -> DataFra
     for p in parts[1:]:
         out = out.union(p)
     top = zones.agg(F.max("zone")).first()[0] or 0
-    rank = F.row_number().over(W.orderBy(F.col("kind") == "origin", "kind", "zone", "stop", "line", "seq"))
-    others = out.where("kind <> 'origin'").withColumn("node", F.lit(top) + rank)
+    others = numbered(out.where("kind <> 'origin'"), ["kind", "zone", "stop", "line", "seq"], "node", top + 1)
     return others.unionByName(out.where("kind = 'origin'").withColumn("node", F.col("zone"))).select("node", "kind", "stop", "line", "seq", "zone")
 
 
@@ -101,7 +99,7 @@ def transit_edges(segments: DataFrame, stops: DataFrame, zones: DataFrame, headw
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return v, out.withColumn("edge", F.row_number().over(W.orderBy("kind", "tail", "head", "line")).cast("long"))
+    return v, numbered(out, ["kind", "tail", "head", "line"], "edge", 1)
 
 
 #: Skims: which edges count (an edge counts 1), or add their time.

@@ -115,10 +115,10 @@ def ipf_3_iterations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_ipf_sql(2))
-def ipf_by_joins(spark: SparkSession, d: str) -> DataFrame:
+def ipf_in_place(spark: SparkSession, d: str) -> DataFrame:
     seed, v = D.demand(spark, d).withColumnRenamed("trips", "value"), vectors(spark, d)
     rows, cols = v.select(F.col("zone").alias("origin"), F.col("rows").alias("p")), v.select(F.col("zone").alias("destination"), F.col("columns").alias("a"))
-    return DS.ipf_by_joins(seed, rows, cols, 2, 0.0).matrix.select("origin", "destination", F.round("value", 4).alias("value"))
+    return DS.ipf_in_place(seed, rows, cols, 2, 0.0).matrix.select("origin", "destination", F.round("value", 4).alias("value"))
 
 
 @query(_ipf_sql(40, digits=2))

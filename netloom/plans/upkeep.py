@@ -12,7 +12,7 @@ from netloom.operators import spatial as P
 from netloom.operators import timetable as T
 from netloom.operators import upkeep as U
 from netloom.operators.model import RoadGraph, build_graphs
-from netloom.plans.network import FLOWS_SQL, WALK_SQL, edges, labels_sql, r6
+from netloom.plans.network import FLOWS_SQL, WALK_SQL, labels_sql, r6
 from netloom.plans.places import DIST, POINTS, _squares, cus, sup
 from netloom.plans.registry import query
 from netloom.sources import derived as D
