@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -153,6 +154,12 @@ class Words(dict):
         return [packed(self.encode(t)) if ODD_SPACES.search(t) else b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
+@lru_cache(2)
+def words_of(path: str) -> Words:
+    """A worker's words of a vocabulary: they stay from task to task."""
+    return Words(tokenizer(path))
+
+
 def pieces(items: list[tuple], capacity: int, group: int, final: bool, base: int, fill: float = FILL) -> tuple[list[tuple], list[tuple], int]:
     """Pack items (row, start, ids as bytes) of one stream: the pieces (.., window, offset) of whole groups, the items left over, the next window's number.
 
@@ -189,7 +196,7 @@ def packer(path: str, capacity: int, group: int, piece: int, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        words = Words(tokenizer(path))
+        words = words_of(path)
         base, waiting, last = TaskContext.get().partitionId() << 36, [], packed([END])
 
         def frame(found):
