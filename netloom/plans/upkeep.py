@@ -17,6 +17,7 @@ from netloom.plans.places import DIST, POINTS, _squares, cus, sup
 from netloom.plans.registry import query
 from netloom.sources import derived as D
 from netloom.sources import networks as S
+from netloom.sources import system as Y
 
 
 def pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -241,3 +242,37 @@ def route_link_distances(spark: SparkSession, d: str) -> DataFrame:
     steps = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("pattern"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("seq"))
     steps = steps.withColumn("link_id", (F.col("pattern") + F.col("seq") * 5) % n + 1).withColumn("distance", F.lit(0.0))
     return U.route_link_distances(steps, links).select("pattern", "seq", "link_id", *r6("distance"))
+
+
+_CALLS_SQL = f"""WITH {D.SCHEDULE_SQL}, c AS (SELECT pattern AS route, trip, list(stop ORDER BY seq, stop) AS calls FROM schedule GROUP BY ALL),
+p AS (SELECT route, calls, count(*) AS n_trips, row_number() OVER (ORDER BY route, calls) AS pattern_id FROM c GROUP BY route, calls)"""
+
+
+def _system(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The derived timetable as a system, saved and read again."""
+    G.checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/system-{uuid.uuid4().hex[:12]}"
+    stops = spark.range(40).select(F.col("id").alias("stop"), (F.col("id") * 37.5 % 500).alias("x"), (F.col("id") * 71.25 % 500).alias("y"), F.concat(F.lit("stop "), F.col("id").cast("string")).alias("name"))
+    Y.save_system(Y.system_of(D.schedule(spark, d), stops, _squares(spark)), path)
+    return Y.read_system(spark, path)
+
+
+@query(f"{_CALLS_SQL} SELECT pattern_id, dense_rank() OVER (ORDER BY route) AS route_id, n_trips, len(calls) AS n_stops FROM p")
+def transit_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return _system(spark, d)["patterns"].select("pattern_id", "route_id", "n_trips", F.col("n_stops").cast("long").alias("n_stops"))
+
+
+@query(f"{_CALLS_SQL} SELECT pattern_id, s.trip, CAST(seq AS BIGINT) AS seq, stop, CAST(arrival AS BIGINT) AS arrival, CAST(departure AS BIGINT) AS departure FROM schedule s JOIN c ON c.trip = s.trip AND c.route = s.pattern JOIN p ON p.route = c.route AND p.calls = c.calls")
+def transit_system_calls(spark: SparkSession, d: str) -> DataFrame:
+    return Y.calls_of(_system(spark, d)).select("pattern_id", "trip", *[F.col(c).cast("long").alias(c) for c in ("seq", "stop", "arrival", "departure")])
+
+
+@query(f"""WITH {D.SCHEDULE_SQL} SELECT trip AS trip_id, lpad(CAST(arrival // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(arrival // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(arrival % 60 AS VARCHAR), 2, '0') AS arrival_time, stop AS stop_id, CAST(seq AS BIGINT) AS stop_sequence FROM schedule""")
+def feed_stop_times(spark: SparkSession, d: str) -> DataFrame:
+    return Y.feed_tables(_system(spark, d))["stop_times"].select("trip_id", "arrival_time", "stop_id", F.col("stop_sequence").cast("long").alias("stop_sequence"))
+
+
+@query("""WITH s AS (SELECT k AS stop, (k * 37.5) % 500 AS x, (k * 71.25) % 500 AS y FROM (SELECT unnest(range(40)) AS k)), z AS (SELECT k + 1 AS zone, (k % 5) * 100 + 0.37 AS x0, (k // 5) * 100 + 0.41 AS y0 FROM (SELECT unnest(range(25)) AS k)),
+r AS (SELECT stop, zone, round(sqrt(pow(greatest(x0 - x, 0, x - x0 - 100), 2) + pow(greatest(y0 - y, 0, y - y0 - 100), 2)), 9) AS dist FROM s CROSS JOIN z) SELECT stop, CAST(arg_min(zone, (dist, zone)) AS BIGINT) AS zone FROM r GROUP BY stop""")
+def stop_zones(spark: SparkSession, d: str) -> DataFrame:
+    return _system(spark, d)["stops"].select("stop", "zone")

@@ -178,3 +178,20 @@ def layer_problems(links: DataFrame, nodes: DataFrame) -> DataFrame:
         one = df.select(F.lit(problem).alias("problem"), df[df.columns[0]].cast("string").alias("key"), F.lit(severity).alias("severity"))
         out = one if out is None else out.union(one)
     return out
+
+
+def visum_zones(layer: DataFrame) -> DataFrame:
+    """(zone, x, y, name) of a layer of zone centroids."""
+    p = lambda k: F.try_element_at("p", F.lit(k))
+    at = F.from_json("coordinates", "array<double>")
+    return layer.where("kind = 'Point'").select(p("NO").cast("long").alias("zone"), F.get(at, F.lit(0)).alias("x"), F.get(at, F.lit(1)).alias("y"), p("NAME").alias("name"))
+
+
+def visum_connectors(layer: DataFrame) -> DataFrame:
+    """(zone, node, direction, modes, distance, speed, capacity, time) of a layer of connectors: direction O runs from the zone (1), D to it (-1); one
+    that has both is two-way (0). Missing values are filled (see connector_values); one without a known mode is left out."""
+    p = lambda k: F.try_element_at("p", F.lit(k))
+    rows = layer.select(p("ZONENO").cast("long").alias("zone"), p("NODENO").cast("long").alias("node"), F.upper(p("DIRECTION")).alias("way"), modes_of(p("TSYSSET")).alias("modes"), with_unit(p("LENGTH"), "length").alias("distance"), F.lit(None).cast("double").alias("speed"), F.lit(None).cast("double").alias("capacity"))
+    both = rows.where("modes <> ''").groupBy("zone", "node").agg(F.collect_set("way").alias("ways"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("modes", ""))))), "").alias("modes"), F.max("distance").alias("distance"), F.max("speed").alias("speed"), F.max("capacity").alias("capacity"))
+    direction = F.when(F.size("ways") > 1, 0).when(F.array_contains("ways", "D"), -1).otherwise(1)
+    return connector_values(both.withColumn("direction", direction).drop("ways")).select("zone", "node", "direction", "modes", "distance", "speed", "capacity", "time")

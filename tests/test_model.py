@@ -178,3 +178,39 @@ def test_procedures_progress_and_log(tmp_path):
     assert [e["what"] for e in seen] == ["start", "step", "step", "end"] and len(log.contents()) == 4
     log.clear()
     assert log.contents() == []
+
+
+def test_whole_feeds_round_trip(spark, tmp_path):
+    import csv
+    import io
+    import zipfile
+
+    from netloom.sources import system as T
+
+    rows = [("bus|0", "t1", 0, 1, 30, 40), ("bus|0", "t1", 1, 2, 90_000, 90_010), ("bus|0", "t2", 0, 1, 60, 70), ("bus|0", "t2", 1, 2, 99, 100), ("tram|1", "t3", 0, 2, 5, 6), ("tram|1", "t3", 1, 1, 50, 60)]
+    schedule = spark.createDataFrame(rows, "pattern string, trip string, seq int, stop long, arrival int, departure int")
+    stops = spark.createDataFrame([(1, 0.0, 1.0, "A"), (2, 2.0, 3.0, "B")], "stop long, x double, y double, name string")
+    system = T.system_of(schedule, stops)
+    assert {(r.pattern_id, r.route_id, r.n_trips) for r in system["patterns"].collect()} == {(1, 1, 2), (2, 2, 1)}
+    T.write_whole_feed(system, str(tmp_path / "feed"))
+    T.zip_feed(str(tmp_path / "feed"), str(tmp_path / "feed.zip"))
+    with zipfile.ZipFile(tmp_path / "feed.zip") as z:
+        assert set(z.namelist()) == {f"{n}.txt" for n in ("agency", "calendar", "stops", "routes", "trips", "stop_times", "shapes")}
+        times = list(csv.DictReader(io.StringIO(z.read("stop_times.txt").decode())))
+    assert len(times) == 6 and {r["arrival_time"] for r in times} >= {"25:00:00", "00:00:30"}
+
+
+def test_visum_zones_and_connectors(spark, tmp_path):
+    import json
+
+    def layer(name, features):
+        path = tmp_path / f"{name}.geojson"
+        path.write_text(json.dumps({"features": [{"properties": p, "geometry": g} for p, g in features]}))
+        return S.read_visum_layer(spark, str(path))
+
+    point = {"type": "Point", "coordinates": [1.5, 2.5]}
+    assert [tuple(r) for r in S.visum_zones(layer("z", [({"no": "7", "Name": "x"}, point)])).collect()] == [(7, 1.5, 2.5, "x")]
+    both = [({"ZONENO": "7", "NODENO": "1", "DIRECTION": w, "TSYSSET": "CAR,BIKE", "LENGTH": "0.5km"}, point) for w in ("O", "D")]
+    one = [({"ZONENO": "7", "NODENO": "2", "DIRECTION": "D", "TSYSSET": "CAR", "LENGTH": "300m"}, point), ({"ZONENO": "7", "NODENO": "3", "DIRECTION": "O", "TSYSSET": "BOAT", "LENGTH": "1km"}, point)]
+    got = {r.node: (r.direction, r.modes, r.distance, r.speed) for r in S.visum_connectors(layer("c", both + one)).collect()}
+    assert got == {1: (0, "bc", 500.0, S.CONNECTOR_SPEED), 2: (-1, "c", 300.0, S.CONNECTOR_SPEED)}
