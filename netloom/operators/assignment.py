@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.vdf import vdf
 from netloom.operators import kernels as K
-from netloom.operators.graph import arrays, reachable_package, spread
+from netloom.operators.graph import arrays, min_plus, reachable_package, spread
 
 ALGORITHMS = {"all-or-nothing": "all-or-nothing", "msa": "msa", "fw": "fw", "frank-wolfe": "fw", "cfw": "cfw", "bfw": "bfw"}
 
@@ -91,6 +91,23 @@ def all_or_nothing(spark: SparkSession, graph: K.GraphArrays, od: DataFrame, cor
     return rows.mapInPandas(run, schema).groupBy("edge", "link_id", "direction").agg(*[F.sum(c).alias(c) for c in cores])
 
 
+def all_or_nothing_by_joins(edges: DataFrame, od: DataFrame, cores: list[str], cost: str) -> DataFrame:
+    """(link_id, direction, *cores) as all_or_nothing() gives, for graphs too large to broadcast: labels by relaxation, and demand that goes back
+    along them a link a round, that of one origin at one node as one row."""
+    some = " OR ".join(f"`{c}` > 0" for c in cores)
+    now = od.where("origin <> destination").where(some).select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("node"), *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cores])
+    labels = min_plus(edges, now.select("origin").distinct(), cost).where("pred_node is not null").select("origin", "node", "pred_node", "link_id", "direction").checkpoint()
+    sums, out = [F.sum(c).alias(c) for c in cores], None
+    while True:
+        step = now.join(labels, ["origin", "node"]).checkpoint()
+        if step.isEmpty():
+            break
+        flows = step.groupBy("link_id", "direction").agg(*sums)
+        out = (flows if out is None else out.unionByName(flows).groupBy("link_id", "direction").agg(*sums)).checkpoint()
+        now = step.groupBy("origin", F.col("pred_node").alias("node")).agg(*sums)
+    return out if out is not None else labels.select("link_id", "direction", *[F.lit(0.0).alias(c) for c in cores]).limit(0)
+
+
 def link_results(flows: DataFrame, links: DataFrame, cores: list[str]) -> DataFrame:
     """(link_id, *_ab, *_ba, *_tot) of every link, 0 where nothing was loaded."""
     sides = [F.sum(F.when(F.col("direction") == way, F.col(c)).otherwise(0.0)).alias(f"{c}_{side}") for c in cores for way, side in ((1, "ab"), (-1, "ba"))]

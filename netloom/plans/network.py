@@ -162,6 +162,11 @@ def aon_link_flows(spark: SparkSession, d: str) -> DataFrame:
     return A.link_results(flows, D.links(spark, d), ["trips"]).select("link_id", *r6("trips_ab", "trips_ba", "trips_tot"))
 
 
+@query(f"{_flows('sum(trips) AS v')} SELECT link_id, CAST(direction AS BIGINT) AS direction, round(v, 6) AS trips FROM f")
+def aon_by_joins(spark: SparkSession, d: str) -> DataFrame:
+    return A.all_or_nothing_by_joins(edges(spark, d), D.demand(spark, d), ["trips"], "distance").select("link_id", F.col("direction").cast("long").alias("direction"), *r6("trips"))
+
+
 _CLASSES = {"AUTOMOBILE": 1.0, "BUILDING": 1.5, "MACHINERY": 2.0}
 
 

@@ -93,6 +93,14 @@ def stop_status(spark: SparkSession, d: str) -> DataFrame:
     return P.classify_stops(near, cus(spark, d)).select("id", "status", *r6("distance"))
 
 
+@query(f"""{POINTS}, {NEAR_SQL}, m AS (SELECT id, min(dist) AS dm FROM near WHERE dist <= 100 GROUP BY id), n AS (SELECT id, count(*) AS n FROM near JOIN m USING (id) WHERE dist <= dm + 0.001 GROUP BY id)
+SELECT CASE WHEN dm <= 25 AND n > 1 THEN 'ambiguous' WHEN dm <= 25 THEN 'matched' WHEN dm <= 100 THEN 'near-model' ELSE 'outside' END AS status, count(*) AS n FROM cus c LEFT JOIN m USING (id) LEFT JOIN n USING (id) GROUP BY 1""")
+def stop_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    from netloom.operators.timetable import histogram
+
+    return histogram(P.classify_stops(P.stops_near_links(cus(spark, d), _segments(spark, d), 100.0), cus(spark, d)), "status")
+
+
 @query(f"""{POINTS}, {NEAR_SQL}, m AS (SELECT id, min(dist) AS dm FROM near GROUP BY id), c AS (SELECT id % 100 AS pattern, id // 100 AS seq, dm <= 25 AS ok FROM m),
 e AS (SELECT pattern, min(seq) FILTER (WHERE ok) AS f, max(seq) FILTER (WHERE ok) AS l, count(*) FILTER (WHERE ok) AS kept, count(*) AS n FROM c GROUP BY pattern)
 SELECT pattern, f AS "first", l AS "last", kept, CASE WHEN kept < 2 THEN 'insufficient' WHEN kept < l - f + 1 THEN 'internal-gap' WHEN kept = n THEN 'fully-covered' ELSE 'trim-covered' END AS decision FROM e""")
