@@ -16,7 +16,7 @@ from netloom.llm.common import Forest, Table, components, hashed_order, join_hot
 #: bytes of them; all vectors are assigned and compared. Cells of a length at most; a length with fewer vectors is one cell.
 SAMPLE, LARGEST_SAMPLE, SAMPLE_BYTES, CELLS, FEW = 20_000, 65_536, 64 << 20, 16_384, 1_000
 #: Sending a vector to a cell costs about as much as so many products.
-COPY_COST = 1_000
+COPY_COST = 3_000
 #: A block of a cell holds about so many bytes of vectors; a task compares two blocks.
 BLOCK_BYTES = 4 << 20
 
