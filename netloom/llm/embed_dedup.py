@@ -16,7 +16,7 @@ from netloom.llm.common import Forest, Table, components, hashed_order, join_hot
 #: bytes of them; all vectors are assigned and compared. Cells of a length at most; a length with fewer vectors is one cell.
 SAMPLE, LARGEST_SAMPLE, SAMPLE_BYTES, CELLS, FEW = 20_000, 65_536, 64 << 20, 16_384, 1_000
 #: Sending a vector to a cell costs about as much as so many products.
-COPY_COST = 3_000
+COPY_COST = 1_500
 #: A block of a cell holds about so many bytes of vectors; a task compares two blocks.
 BLOCK_BYTES = 4 << 20
 
@@ -78,6 +78,19 @@ def cells_of(x: np.ndarray, centres: np.ndarray, least: float) -> list[list[int]
     return out
 
 
+def close_pairs(x: np.ndarray, short: np.ndarray, some: np.ndarray, others: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a of some, b of others) of unit vectors x whose cosine in double precision is `least` or more. Products in single precision, which
+    err by less than the slack, tell which pairs are worth it."""
+    slack = 1e-6 * (8 + x.shape[1] / 16)
+    a, b = np.nonzero(short[some] @ short[others].T >= np.float32(least - slack))
+    if len(a) > len(some) * len(others) // 20:
+        a, b = np.nonzero(x[some] @ x[others].T >= least)
+        return some[a], others[b]
+    a, b = some[a], others[b]
+    sure = np.einsum("ij,ij->i", x[a], x[b]) >= least
+    return a[sure], b[sure]
+
+
 def compared(least: float):
     """Two blocks of a cell: sums of copies linked, and spanning links.
 
@@ -90,16 +103,15 @@ def compared(least: float):
         cell, i, j, kind = (int(pdf[c].iloc[0]) for c in ("cell", "i", "j", "kind"))
         node, copies, block, home = (pdf[c].to_numpy(np.int64) for c in ("node", "n", "block", "home"))
         x, visitor = unit(pdf["vec"]), home != cell
+        short = x.astype(np.float32)
         left = np.flatnonzero(~visitor & (block == i))
         right = np.flatnonzero((visitor & (block == j)) if kind == 1 else (~visitor & (block == j)) if kind == 0 else np.ones(len(node), dtype=bool))
         cells = [np.asarray(c, dtype=np.int64) for c in pdf["cells"].iloc[left]]
         span = 1 << 32
         visits = np.sort(np.concatenate([np.repeat(left, [len(c) for c in cells]) * span + np.concatenate(cells)])) if len(left) else np.empty(0, dtype=np.int64)
         links, forest = np.zeros(len(node), dtype=np.int64), Forest()
-        for at in range(0, len(left), 512):
-            some = left[at : at + 512]
-            a, b = np.nonzero(x[some] @ x[right].T >= least)
-            a, b = some[a], right[b]
+        for some, others in ((left[i : i + 512], right[j : j + 2048]) for i in range(0, len(left), 512) for j in range(0, len(right), 2048)):
+            a, b = close_pairs(x, short, some, others, least)
             once = visitor[b] | (a < b) if i == j or kind == 2 else np.ones(len(a), dtype=bool)
             a, b = a[once], b[once]
             if visitor.any() and len(a):
